@@ -1 +1,8 @@
 """Panorama geometry, photometry and corpus analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions travel to the executors whole, which then need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
