@@ -18,10 +18,6 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(BLANKS)))
-
-
 def drop_repeated_lines(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1
 ) -> DataFrame:
@@ -31,42 +27,24 @@ def drop_repeated_lines(
     `min_chars` code points are never dropped. Adds `n_lines` (before) and `n_dropped`; these
     replace input columns of those names, and all other columns pass through.
 
-    Method: lines are exploded with their positions, keys become two 64-bit hashes, each
-    document counts once per key (its first line of a key carries the count), frequent keys
-    come back as positions, and the text is reassembled from the positions that are left.
-    Only hashes are shuffled for the counts; texts move once, for the reassembly.
+    Method: each document's distinct keys are exploded, hashed to two 64-bit numbers and counted;
+    lines are exploded with their positions, frequent ones come back as sets of positions,
+    and the text is reassembled from the positions that are left. Only hashes are shuffled for
+    the counts; texts move once, for the reassembly.
 
     Null text is one empty line and stays null if nothing is dropped. Rows are documents: a
     repeated row counts anew. Rows are told apart by (doc_id, text), so a null doc_id is a value
     like any other. An empty table gives an empty result.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumns(
-        {"__k1": F.col(doc_id), "__k2": F.xxhash64(F.col(text)), "__lines": F.split(body, "\n", -1)}
-    )
-
-    def hashes(line: Column, pos: Column) -> Column:
-        key = line_key(line)
-        long_enough = F.length(key) >= max(1, min_chars)
-        return F.struct(
-            F.when(long_enough, F.xxhash64(key)).alias("h1"),
-            F.when(long_enough, F.xxhash64(F.lit(1), key)).alias("h2"),
-            pos.alias("pos"),
-        )
-
-    def mark_first(all_: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            before = F.get(all_, i - 1)
-            again = (i > 0) & (before["h1"] == x["h1"]) & (before["h2"] == x["h2"])
-            return F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["pos"].alias("pos"), (~again).alias("first"))
-
-        return F.transform(all_, one)
-
-    hashed = base.select("__k1", "__k2", F.filter(F.transform("__lines", hashes), lambda x: x["h1"].isNotNull()).alias("s"))
-    hashed = hashed.select("__k1", "__k2", F.array_sort("s").alias("s"))
-    lines = hashed.select("__k1", "__k2", F.inline(mark_first(F.col("s"))))
+    base = docs.withColumns({"__k1": F.col(doc_id), "__k2": F.xxhash64(F.col(text))})
+    keys = F.transform(F.split(ascii_lower(body), "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)))
+    hashes = [F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2")]
+    counted = F.length("key") >= max(1, min_chars)
+    once = base.select(F.explode(F.array_distinct(keys)).alias("key")).where(counted).select(*hashes)
+    lines = base.select("__k1", "__k2", F.posexplode(keys).alias("pos", "key")).where(counted).select("__k1", "__k2", "pos", *hashes)
     frequent = written(
-        lines.where("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"),
+        once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"),
         "frequent_lines",
     )
     if frequent.count() <= BROADCAST_LINES:
@@ -77,7 +55,8 @@ def drop_repeated_lines(
         .agg(F.collect_set("pos").alias("__hits"))
         .withColumnsRenamed({"__k1": "__j1", "__k2": "__j2"})
     )
-    joined = base.join(hits, F.col("__k1").eqNullSafe(F.col("__j1")) & (F.col("__k2") == F.col("__j2")), "left")
+    same = F.col("__k1").eqNullSafe(F.col("__j1")) & (F.col("__k2") == F.col("__j2"))
+    joined = base.join(hits, same, "left").withColumn("__lines", F.split(body, "\n", -1))
     n = F.size("__lines")
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__hits"))
     kept = F.array_join(F.transform(left, lambda p: F.get(F.col("__lines"), p)), "\n")
