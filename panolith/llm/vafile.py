@@ -61,10 +61,12 @@ def _wide_top_k(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: n
     exact = [[int(x) for x in row] for row in rows]
     for i, q in enumerate(queries):
         mine = [int(x) for x in q]
-        score = sorted((-sum(a * b for a, b in zip(mine, row, strict=True)), int(ids[j]), j) for j, row in enumerate(exact) if ids[j] != q_ids[i])[:k]
+        product = (sum(a * b for a, b in zip(mine, row, strict=True)) for row in exact)
+        bounded = [max(min(x, 2**63 - 1), -(2**63)) for x in product]
+        score = sorted((-x, int(ids[j]), j) for j, x in enumerate(bounded) if ids[j] != q_ids[i])[:k]
         found_q.append(np.full(len(score), i))
         found_r.append(np.array([j for *_, j in score], dtype=int))
-        found_s.append(np.array([max(min(-x, 2**63 - 1), -(2**63)) for x, *_ in score], dtype=np.int64))
+        found_s.append(np.array([-x for x, *_ in score], dtype=np.int64))
     return _joined(found_q, found_r, found_s)
 
 
@@ -84,7 +86,7 @@ def exact_top_k(
     queries with fewer candidates get all. Vectors that are null or empty, or that hold null
     or non-finite components, take no part, nor do rows without id; vectors of different
     length aren't compared. A repeated row is a candidate each time, but one query (of its id,
-    the least vector). Scores past 64 bits stand at their bound. An empty table gives none.
+    the least vector). Scores past 64 bits stand at, and are ranked by, their bound. An empty table gives none.
     """
     whole = sound(vectors, vec_id, embedding).select(
         "id", F.transform("vec", lambda x: F.floor(x.cast("double") * float(scale)).cast("double")).alias("vec")
