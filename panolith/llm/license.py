@@ -153,7 +153,7 @@ def scan_licenses(
     docs: DataFrame,
     phrases: Mapping[str, str] = PHRASES,
     templates: tuple = TEMPLATES,
-    threshold: float = 0.8,
+    threshold: float = 0.9,
     text: str = "text",
 ) -> DataFrame:
     """`docs` with the license phrases and notices found in the whole `text`.
