@@ -46,6 +46,15 @@ def with_steps(df: DataFrame, **steps: Column) -> DataFrame:
     return df
 
 
+def kept(df: DataFrame, ok: Column) -> DataFrame:
+    """The rows for which `ok` holds, tested after the steps above and not pushed through them.
+
+    A plain filter would be rewritten in terms of the first columns, with every step copied
+    into it as often as it is used; a test that is not deterministic stays where it is.
+    """
+    return df.where(F.when(ok, F.rand(0)).otherwise(F.lit(-1.0)) >= 0)
+
+
 def rotation(df: DataFrame, yaw="yaw", pitch="pitch", roll="roll", prefix: str = "m") -> DataFrame:
     """Adds m00..m22, the camera-to-world matrix Ry(yaw) Rx(pitch) Rz(roll)."""
     df = df.withColumns(
@@ -165,15 +174,19 @@ def measured_radius(ideal: Column, steps: int = 24) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ideal, step)
 
 
-def rays_to_pixels(df: DataFrame, ray=("rx", "ry", "rz"), world: bool = True) -> DataFrame:
+def rays_to_pixels(df: DataFrame, ray=("rx", "ry", "rz"), world: bool = True, matrix: str | None = None) -> DataFrame:
     """Adds px, py and valid, where the lens sees the ray; the inverse of `pixels_to_rays`.
 
+    With `matrix` the pose is read from the nine columns of that prefix, made by `rotation`, so
+    that a join with cameras computes it once per camera instead of per ray.
     valid is false behind a flat or parallel lens, and where the distortion curve no longer
     rises or has passed 2.5 half short sides.
     """
     df = df.withColumns(dict(zip(("__vx", "__vy", "__vz"), (F.col(r) for r in ray), strict=True)))
     v = ("__vx", "__vy", "__vz")
-    if world:
+    if matrix:
+        df = turned(df, matrix, back=True, ray=v)
+    elif world:
         df = turned(rotation(df, prefix="__m"), "__m", back=True, ray=v).drop(*[f"__m{i}{j}" for i in range(3) for j in range(3)])
     df = _direction(unit(df, v), "__vx", "__vy").withColumn("__f", focal_px())
     f, r, z, kind = F.col("__f"), F.col("__r"), F.col("__vz"), F.col("projection")

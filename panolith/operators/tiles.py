@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import ceil
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panolith.functions.geometry import canvas_to_rays, rays_to_pixels
 from panolith.schema import Layout
 
 TILE, MARGIN = 1536, 192
@@ -37,18 +38,24 @@ def cell_size(layout: Layout) -> int:
     return min(64, max(8, ceil(max(layout.w, layout.h) / 1500)))
 
 
-def coverage(spark: SparkSession, cameras: DataFrame, layout: Layout, cell: int | None = None) -> DataFrame:
+def coverage(spark: SparkSession, layout: Layout, sees: Callable, cell: int | None = None) -> DataFrame:
     """(image_id, cx, cy): cells of the canvas whose middle each photo sees, and their neighbours.
 
-    Columns of a canvas that wraps go on at the other end.
+    sees(x, y) gives (image_id, mask) of the photos for arrays of canvas coordinates. Columns of a
+    canvas that wraps go on at the other end. Batches of cells are projected as arrays: as
+    column expressions the long chain of steps would be copied many times over by the optimizer.
     """
     cell = cell or cell_size(layout)
     nx, ny = ceil(layout.w / cell), ceil(layout.h / cell)
-    grid = spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("cx"), F.floor(F.col("id") / nx).cast("int").alias("cy"))
-    rays = canvas_to_rays(grid, layout, F.col("cx") * cell + cell / 2 + layout.x0, F.col("cy") * cell + cell / 2 + layout.y0).where("on_canvas")
-    seen = rays_to_pixels(rays.select("cx", "cy", "rx", "ry", "rz").join(F.broadcast(cameras)))
-    inside = F.col("valid") & (F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") <= F.col("width") - 1) & (F.col("py") <= F.col("height") - 1)
-    return dilated(seen.where(inside).select("image_id", "cx", "cy"), nx, ny, layout.hfov >= 358 and layout.w >= layout.full_w)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cx, cy = batch["id"].to_numpy() % nx, batch["id"].to_numpy() // nx
+            for image, mask in sees(cx * cell + cell / 2 + layout.x0, cy * cell + cell / 2 + layout.y0):
+                yield pd.DataFrame({"image_id": image, "cx": cx[mask], "cy": cy[mask]})
+
+    cells = spark.range(nx * ny).mapInPandas(run, "image_id long, cx int, cy int")
+    return dilated(cells, nx, ny, layout.hfov >= 358 and layout.w >= layout.full_w)
 
 
 def dilated(cells: DataFrame, nx: int, ny: int, wraps: bool = False) -> DataFrame:
