@@ -18,6 +18,8 @@ from panolith.session import discard, written
 
 #: Shingles hashed at a time, and rows of a bucket compared at a time.
 SHINGLES, ROWS = 1 << 16, 2048
+#: Fingerprints of a bucket that one task compares.
+HOT_ROWS = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
@@ -186,6 +188,30 @@ def filed(classes: DataFrame, plan: list[tuple[list[int], int]], words: int) ->
     return classes.select(*cols).mapInPandas(run, "file long, " + ", ".join(f"{c} long" for c in cols))
 
 
+def dealt(rows: DataFrame, classes: DataFrame, plan: list[tuple[list[int], int]], words: int, hot_rows: int) -> DataFrame:
+    """`rows` of `filed` with files of over `hot_rows` rows dealt to several.
+
+    Such a file's rows fall into blocks by hash, and each pair of blocks becomes a file, so every
+    pair of rows still meets and none holds more than about two blocks. A file that leaves out t
+    bits joins 2^t keys of its group, so if no key of any group is large, no file is, and
+    the sizes of the files need not be counted.
+    """
+    keys = filed(classes, [(group, 0) for group, _ in plan], words).groupBy("file").count()
+    largest = keys.agg(F.max("count")).first()[0] or 0
+    if largest << max((t for _, t in plan), default=0) <= hot_rows:
+        return rows
+    sizes = written(rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows), "hot_files")
+    if not sizes.count():
+        return rows
+    cols = [f"fp{w}" for w in range(words)]
+    blocks = F.ceil(F.col("n") / hot_rows)
+    own = F.pmod(F.xxhash64(*cols), blocks)
+    pair = F.struct(F.least("own", "other"), F.greatest("own", "other"))
+    hot = rows.join(sizes, "file").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    hot = hot.select(F.xxhash64("file", pair).alias("file"), *cols)
+    return rows.join(sizes, "file", "left_anti").select("file", *cols).unionByName(hot)
+
+
 def file_id(fps: np.ndarray, number: int, keep: list[int]) -> np.ndarray:
     """A 64-bit mix of the mask's number and the kept bits; a clash only adds candidates."""
     h = np.full(len(fps), (number * 0x9E3779B97F4A7C15 + 0x1234567) % 2**64, dtype=np.uint64)
@@ -295,7 +321,7 @@ def links(filed_rows: DataFrame, words: int, differ: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, differ: int = 4, words: int = 1, text: str = "text", doc_id: str = "doc_id", carry: bool = True
+    docs: DataFrame, shingle: int = 5, differ: int = 4, words: int = 1, text: str = "text", doc_id: str = "doc_id", carry: bool = True, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """`docs` with `fingerprint` (hexadecimal) and `component_id`, the least doc_id linked to it.
 
@@ -308,7 +334,7 @@ def near_duplicates(
 
     Equal fingerprints form a class, and only classes are searched, by `allocation`'s
     thresholds from statistics of all classes. Rows filed under equal kept bits are sorted into
-    one task's stream and verified there; a task sends on a spanning forest of its links, never
+    one task's stream and verified there, those of a file over `hot_rows` in several (see `dealt`); a task sends on a spanning forest of its links, never
     pairs, which loses no connection. Null doc_ids form components like others and don't
     count for the least id. Repeated rows are returned each. With carry False only doc_id comes along.
     """
@@ -318,7 +344,8 @@ def near_duplicates(
     prints = written(fingerprints(ids, "__text", shingle, words), "fingerprints")
     classes = written(prints.groupBy(*cols).agg(F.min("__id").alias("rep")), "classes")
     n, both = bit_counts(classes, words)
-    found = written(links(filed(classes, allocation(n, both, differ), words), words, differ), "links")
+    plan = allocation(n, both, differ)
+    found = written(links(dealt(filed(classes, plan, words), classes, plan, words, hot_rows), words, differ), "links")
     # Classes get numbers by their fingerprint; a class that is linked gets its component's.
     if words == 1:
         edges = found.select(F.col("a0").alias("u"), F.col("b0").alias("v"))

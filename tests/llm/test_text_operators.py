@@ -217,8 +217,8 @@ def test_simhash(spark, docs_of, odd_rows, shingle, differ, words):
             least[p] = min(i, least.get(p, i))
     docs = docs_of(rows).withColumns({"fingerprint": F.lit(1), "file": F.lit(2), "rep": F.lit(3)})
     want = sorted((repr(i), "".join(f"{f >> 64 * w & (1 << 64) - 1:016x}" for w in range(words)), repr(least.get(p))) for (i, _), f, p in zip(rows, fps, part))
-    for carry in (False, True):
-        out = near_duplicates(docs, shingle, differ, words, carry=carry)
+    for carry, hot_rows in ((False, 1 << 16), (True, 4)):
+        out = near_duplicates(docs, shingle, differ, words, carry=carry, hot_rows=hot_rows)
         assert sorted((repr(x.doc_id), x.fingerprint, repr(x.component_id)) for x in out.collect()) == want
     assert near_duplicates(docs.limit(0), shingle, differ, words).count() == 0
 
