@@ -53,7 +53,7 @@ class Settings:
         """Unknown keys are left out; a seam method that isn't known becomes the default one."""
         known = {f.name for f in fields(cls)}
         out = {k: v for k, v in values.items() if k in known}
-        if out.get("seam") not in (None, "none", "distance", "dp_color_grad"):
+        if out.get("seam") not in (None, "none", "distance", "dp_color_grad", "graphcut"):
             out["seam"] = "dp_color_grad"
         return cls(**out)
 
