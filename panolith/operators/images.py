@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panolith.functions.geometry import scaled_fov_hint
 from panolith.functions.tags import is_supported
+from panolith.operators.order import numbered
 
 
 def active_ids(images: DataFrame) -> DataFrame:
@@ -62,9 +63,9 @@ def register(photos: DataFrame, images: DataFrame) -> DataFrame:
     fresh = photos.join(images.select("path"), "path", "left_anti").dropDuplicates(["path"])
     last = images.agg(F.coalesce(F.max("image_id"), F.lit(-1)).alias("__last"))
     scale = F.least(F.lit(1.0), 1600 / F.greatest("width", "height"))
-    rows = fresh.join(F.broadcast(last)).withColumns(
+    rows = numbered(fresh, ["path"], "__n").join(F.broadcast(last)).withColumns(
         {
-            "image_id": (F.col("__last") + F.row_number().over(Window.orderBy("path"))).cast("int"),
+            "image_id": (F.col("__last") + 1 + F.col("__n")).cast("int"),
             "proxy_width": F.greatest(F.bround(F.col("width") * scale), F.lit(1)).cast("int"),
             "proxy_height": F.greatest(F.bround(F.col("height") * scale), F.lit(1)).cast("int"),
             "fov_hint": hint["hfov"],

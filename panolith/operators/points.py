@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panolith.operators.graph import connected_components
+from panolith.operators.order import numbered
 from panolith.schema import LINE_KINDS, PAIR_KINDS
 
 
@@ -31,8 +32,8 @@ def distinct_pairs(points: DataFrame) -> DataFrame:
 def add_points(points: DataFrame, new: DataFrame) -> DataFrame:
     """`new` after `points`, with indexes that go on from the largest one."""
     last = points.agg(F.coalesce(F.max("cp_index"), F.lit(-1)).alias("__last"))
-    numbered = new.drop("cp_index").withColumn("__n", F.row_number().over(Window.orderBy("img_a", "img_b", "xa", "ya", "xb", "yb")))
-    placed = numbered.join(F.broadcast(last)).withColumn("cp_index", F.col("__last") + F.col("__n")).drop("__n", "__last")
+    counted = numbered(new.drop("cp_index"), ["img_a", "img_b", "xa", "ya", "xb", "yb"], "__n")
+    placed = counted.join(F.broadcast(last)).withColumn("cp_index", F.col("__last") + 1 + F.col("__n")).drop("__n", "__last")
     return points.unionByName(placed, allowMissingColumns=True)
 
 
