@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panolith.operators import canvas, gains, graph, images, kernels, layout, points, tiles
+from panolith.operators import canvas, gains, graph, images, kernels, layout, match, points, tiles
 from panolith.schema import Layout, Settings
 from panolith.sources import photos
 
@@ -109,6 +109,15 @@ def test_kernels():
     assert np.allclose(got, h, atol=1e-6) and not ok[:15].any() and ok[15:].all()
 
 
+def test_distinctive_agrees_with_the_join(spark):
+    r = np.random.default_rng(3)
+    rows = [(i % 3, i, float(r.integers(0, 200)), float(r.integers(0, 200)), [float(v) for v in r.integers(0, 3, 4)]) for i in range(120)]
+    f = spark.createDataFrame(rows, "image_id long, feature_id long, x double, y double, descriptor array<double>")
+    left = {(x.image_id, x.feature_id) for x in match.distinctive(f).collect()}
+    gone = {(x.image_id, x.feature_id) for x in match.self_ambiguous(f).collect()}
+    assert gone and left == {(i, k) for i, k, *_ in rows} - gone
+
+
 def test_orientations():
     img = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
     shapes = [photos.oriented(img, k).shape[:2] for k in range(1, 9)]
