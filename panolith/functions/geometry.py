@@ -50,9 +50,10 @@ def kept(df: DataFrame, ok: Column) -> DataFrame:
     """The rows for which `ok` holds, tested after the steps above and not pushed through them.
 
     A plain filter would be rewritten in terms of the first columns, with every step copied
-    into it as often as it is used; a test that is not deterministic stays where it is.
+    into it as often as it is used; filters aren't pushed through a projection with a
+    column that is not deterministic.
     """
-    return df.where(F.when(ok, F.rand(0)).otherwise(F.lit(-1.0)) >= 0)
+    return df.withColumn("__ok", F.when(ok, F.rand(0)).otherwise(F.lit(-1.0))).where("__ok >= 0").drop("__ok")
 
 
 def rotation(df: DataFrame, yaw="yaw", pitch="pitch", roll="roll", prefix: str = "m") -> DataFrame:

@@ -118,6 +118,26 @@ def test_distinctive_agrees_with_the_join(spark):
     assert gone and left == {(i, k) for i, k, *_ in rows} - gone
 
 
+def test_projection_under_a_join_and_a_filter(spark):
+    from panolith.functions import geometry
+    from panolith.plans import panorama
+    from panolith.plans.solve import Camera
+
+    cams = {i: Camera(480, 320, 0, float(np.radians(y)), 0.1, 0.05, 60.0, 0.01, -0.02, 0.01) for i, y in enumerate((0, 35))}
+    rays = spark.range(300).select(F.sin("id").alias("rx"), (F.cos("id") / 3).alias("ry"), F.lit(0.9).alias("rz"), "id")
+    posed = geometry.rotation(panorama.camera_table(spark, cams), prefix="cam")
+    seen = geometry.rays_to_pixels(rays.join(F.broadcast(posed)), matrix="cam")
+    got = geometry.kept(seen, F.col("valid") & (F.col("px") >= 0) & (F.col("px") < 480)).select("id", "image_id", "px").collect()
+    want = {}
+    for r in rays.collect():
+        for i, cam in cams.items():
+            v = np.array([[r.rx, r.ry, r.rz]])
+            x, _, ok = panorama.photo_places(cam, v / np.linalg.norm(v))
+            if ok[0] and 0 <= x[0] < 480:
+                want[r.id, i] = x[0]
+    assert {(r.id, r.image_id): pytest.approx(r.px, abs=1e-2) for r in got} == want
+
+
 def test_orientations():
     img = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
     shapes = [photos.oriented(img, k).shape[:2] for k in range(1, 9)]
