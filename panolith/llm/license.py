@@ -1,10 +1,10 @@
-"""License scans: phrases, and text blocks that contain most of a license notice's words."""
+"""License scans: phrases, and text blocks and word windows that contain most of a license notice's words."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from math import ceil
 
 import pyarrow as pa
@@ -64,6 +64,8 @@ _WORD_BYTES = bytes(
 _PARAGRAPH = re.compile(rb"\n *\n")
 #: Notices of so many distinct words are sought in paragraphs, shorter ones in single lines.
 LONG_NOTICE = 20
+#: A window holds so many times a notice's words, repeats included.
+WINDOW = 1.5
 #: Longer paragraphs are cut into blocks of so many words, each half over the next.
 BLOCK_WORDS = 240
 
@@ -98,7 +100,7 @@ class NoticeJoin:
     1 + min(n - p - 1, size - q - 1). Blocks with too few words of any notice are passed over.
     """
 
-    def __init__(self, notices: list[tuple[str, frozenset]], frequency: Mapping[bytes, int], threshold: float) -> None:
+    def __init__(self, notices: list[tuple[str, frozenset]], frequency: Mapping[bytes, int], threshold: float, sizes: Sequence[int] = ()) -> None:
         vocabulary = sorted(set().union(*(w for _, w in notices)), key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(vocabulary)}
         self.labels = [label for label, _ in notices]
@@ -110,6 +112,56 @@ class NoticeJoin:
         for t, s in enumerate(self.sets):
             for p, r in enumerate(sorted(s)[: len(s) - self.need[t] + 1]):
                 self.prefix.setdefault(r, []).append((t, p))
+        self.words = [words for _, words in notices]
+        self.window = [ceil(WINDOW * n) for n in sizes or map(len, self.sets)]
+        self.anchors = {vocabulary[r]: [t for t, _ in of] for r, of in self.prefix.items()}
+
+    def windows(self, words: list[bytes]) -> Iterator[tuple[int, int, int, float]]:
+        """(notice, first word, end, containment) of all runs of windows that hold a notice up to the threshold.
+
+        A window starts at every word of the text and ends `window` words on, whatever lines and
+        paragraphs it crosses. It holds one of the notice's first n - need + 1 words, so only
+        windows around those are counted. Windows that overlap are one run, from the first
+        to the last of the notice's words in it.
+        """
+        near: dict[int, list[int]] = {}
+        anchors = self.anchors
+        if anchors.keys().isdisjoint(words):
+            return
+        for i, w in enumerate(words):
+            for t in anchors.get(w, ()):
+                near.setdefault(t, []).append(i)
+        for t, places in near.items():
+            size, need, of = self.window[t], self.need[t], self.words[t]
+            counts: dict[bytes, int] = {}
+            run, done = None, 0
+            for i in places:
+                if i - size + 1 > done:
+                    counts, done = {}, i - size + 1
+                start = max(done, 0)
+                for e in range(start, min(len(words), i + size)):
+                    old = words[e - size] if e >= size else None
+                    if old in counts:
+                        if counts[old] == 1:
+                            del counts[old]
+                        else:
+                            counts[old] -= 1
+                    w = words[e]
+                    if w not in of:
+                        continue
+                    counts[w] = counts.get(w, 0) + 1
+                    if len(counts) >= need:
+                        first = next(k for k in range(max(0, e - size + 1), e + 1) if words[k] in of)
+                        share = len(counts) / len(of)
+                        if run and first < run[1]:
+                            run = (run[0], e + 1, max(run[2], share))
+                        else:
+                            if run:
+                                yield t, *run
+                            run = (first, e + 1, share)
+                done = max(done, min(len(words), i + size))
+            if run:
+                yield t, *run
 
     def matches(self, is_line: bool, words: list[bytes]) -> list[tuple[int, float]]:
         """(notice, containment) of all notices that the block holds up to the threshold."""
@@ -166,13 +218,15 @@ def scan_licenses(
 
     Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters. Notices
     are compared with lines if short, else with paragraphs, long ones in half-overlapping blocks
-    of 240 words. Null is an empty text: 0 words, no labels, score 0. Rows are scanned each
+    of 240 words; and all of them with windows of 1.5 times their words from every word on,
+    across the ends of lines and paragraphs. A run of windows inside a block found for its notice
+    is not listed again. Null is an empty text: 0 words, no labels, score 0. Rows are scanned each
     by itself; an empty table gives an empty result. The word order comes from all documents;
     only notices' words are counted, so what the driver gets has their number.
     """
     notices = [(label, frozenset(words_of(notice))) for label, notice in templates]
     vocabulary = frozenset().union(*(w for _, w in notices)) if notices else frozenset()
-    join = NoticeJoin(notices, word_frequencies(docs, text, vocabulary), threshold)
+    join = NoticeJoin(notices, word_frequencies(docs, text, vocabulary), threshold, [len(words_of(notice)) for _, notice in templates])
     sought = [(b" " + b" ".join(words_of(p)) + b" ", label) for p, label in phrases.items()]
 
     def make():
@@ -188,6 +242,7 @@ def scan_licenses(
                     base.add(label)
                     at = line.find(phrase, at + 1)
             found = [(a, e, t, c) for is_line, a, e, w in blocks_of(body) for t, c in join.matches(is_line, w)]
+            found += [(a, e, t, c) for t, a, e, c in join.windows(words) if not any(u == t and b <= a and e <= f for b, f, u, _ in found)]
             labels = base | {join.labels[t] for *_, t, _ in found}
             score = 1.0 if starts else max((c for *_, c in found), default=0.0)
             spans = sorted({(a, e, join.labels[t]) for a, e, t, _ in found})

@@ -309,6 +309,45 @@ def test_notices_are_found(spark, docs_of):
     assert words_of("Äb-C3") == ["Äb".encode(), b"c3"]
 
 
+def test_wrapped_notices_are_found(spark, docs_of):
+    filler = "nothing of note\n" * 50
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed\n"
+    cc = "This work is licensed under a Creative\nCommons Attribution 4.0\n\nInternational License.\n"
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+    rows = list(enumerate(filler + x + filler for x in (bsd, mpl, cc, apache, "mozilla redistribution commons apache permitted\n")))
+    out = {x.doc_id: x for x in scan_licenses(docs_of(rows)).collect()}
+    assert [out[i].labels for i in range(5)] == ["bsd", "mpl", "cc-by", "apache", ""]
+    assert out[0].blocks == "bsd:150:171"
+    assert any(int(b.split(":")[2]) - int(b.split(":")[1]) >= 60 for b in out[3].blocks.split(","))
+
+
+def test_notice_windows_are_exact():
+    r = random.Random(9)
+    words = [b"%d" % i for i in range(60)]
+    for _ in range(100):
+        notices = [(str(k), frozenset(r.sample(words, r.randrange(2, 30)))) for k in range(6)]
+        join = NoticeJoin(notices, {w: r.randrange(50) for w in words}, 0.7)
+        text = [r.choice(words) for _ in range(r.randrange(1, 300))]
+        got = list(join.windows(text))
+        for t, (_, of) in enumerate(notices):
+            full = [(s, e) for e in range(1, len(text) + 1) for s in [max(0, e - join.window[t])] if len(of & set(text[s:e])) >= join.need[t]]
+            best = max((len(of & set(text[s:e])) / len(of) for s, e in full), default=0)
+            runs = [(a, e) for u, a, e, _ in got if u == t]
+            assert bool(full) == bool(runs)
+            assert max((c for u, *_, c in got if u == t), default=0) == best
+            assert all(any(a <= min(k for k in range(s, e) if text[k] in of) and max(k for k in range(s, e) if text[k] in of) < z for a, z in runs) for s, e in full)
+
+
 # --- secrets
 
 
