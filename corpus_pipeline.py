@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again.
 
-No SQL for run()'s rows: toxicity scores and fingerprint links can't be said in SQL; the tests
+No SQL for run()'s rows: toxicity scores and links of near copies can't be said in SQL; the tests
 hold every stage against a plain version.
 """
 
@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 
 from panolith.llm.linededup import drop_repeated_lines
 from panolith.llm.mixing import mix_sources
+from panolith.llm.neardup import drop_similar
 from panolith.llm.packing import SHARD_PIECES, pack_sequences, word_tokens
 from panolith.llm.queries import MIX_SHARES
-from panolith.llm.simhash import near_duplicates
 from panolith.llm.toxicity import score_toxicity, train_toxicity
 from panolith.session import load, written
 
 ORACLE_SQL = None
 
-#: Of 128 fingerprint bits so many may differ. Two sets of shingles with Jaccard similarity 0.8
-#: have a cosine of 2 * 0.8 / 1.8, hence an angle of 0.476, which differs in 128 * 0.476 / pi = 19.4 bits
-#: on average; a little more is allowed, so that most such pairs are linked (88 % measured).
+#: Near copies have at least this Jaccard similarity of five-word shingles.
+SIMILARITY = 0.8
+#: Bits of 128 in which a pair of that similarity differs on average, 19.4, and a little more. The stage
+#: decides by the shingles; the tests hold what is left of their random texts against this.
 DIFFERENT_BITS = 21
 
 
@@ -39,12 +40,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of copies and near copies.
 
-    Five-word shingles; a similarity of 0.8 or more as 128-bit fingerprints show it. Of
-    repeated rows of one id, and of a group without any id, one row stays.
+    Documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8
+    or more. Of repeated rows of one id, and of a group without any id, one row stays.
     """
-    found = near_duplicates(docs, shingle=5, differ=DIFFERENT_BITS, words=2)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return first.dropDuplicates(["doc_id", "fingerprint"]).select(*docs.columns)
+    return drop_similar(docs, shingle=5, similarity=SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,40 @@ def test_empty_corpus(spark, docs_of, tmp_path):
 def test_run(spark):
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "bin_id", "capacity"} <= set(out.columns) and out.count() > 0
+
+
+def test_near_dedup_is_by_similarity(spark, docs_of):
+    r = random.Random(5)
+    texts = []
+    for g in range(40):
+        base = [f"v{r.randrange(5000)}" for _ in range(120)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 2, 3, 3, 4, 4, 5, 6):
+            t = list(base)
+            for k in r.sample(range(len(t)), edits):
+                t[k] = f"e{r.randrange(10**9)}"
+            texts.append(" ".join(t))
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [shingles(t) for t in texts]
+    up, pairs = list(range(len(texts))), 0
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                pairs += 1
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    assert pairs > 100
+    want = {i for i in range(len(texts)) if root(i) == i}
+    assert 40 < len(want) < len(texts) - 40
+    got = [x.doc_id for x in pipeline.drop_copies(spark, docs_of(list(enumerate(texts))), "").collect()]
+    assert sorted(got) == sorted(want)
