@@ -210,7 +210,7 @@ def mapped(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return q[:, :2] / np.where(np.abs(q[:, 2:]) < 1e-12, 1e-12, q[:, 2:])
 
 
-def ransac(a: np.ndarray, b: np.ndarray, threshold: float = 3.0, rounds: int = 2000, confidence: float = 0.9995) -> tuple[np.ndarray | None, np.ndarray]:
+def ransac(a: np.ndarray, b: np.ndarray, threshold: float = 3.0, rounds: int = 8000, confidence: float = 0.9995) -> tuple[np.ndarray | None, np.ndarray]:
     """(map, inliers): the homography that most pairs fit within `threshold` pixels; a fixed seed."""
     best, most = np.zeros(len(a), bool), None
     if len(a) < 4:

@@ -171,3 +171,19 @@ def test_photo_stream(spark, tmp_path):
     q = photo_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.width, r.height) for r in spark.table("seen").select(F.col("width"), F.col("height")).collect()] == [(6, 4)]
+
+
+def test_ransac_finds_a_map_of_few_inliers():
+    r = np.random.default_rng(7)
+    a, b = r.uniform(0, 1000, (100, 2)), r.uniform(0, 1000, (100, 2))
+    b[:15] = a[:15] + [30.0, -20.0]
+    assert kernels.ransac(a, b)[1][:15].all()
+
+
+def test_align_takes_the_reference_number_of_features():
+    import inspect
+
+    from panolith.plans import panorama
+
+    for f in (panorama.align, panorama.detect):
+        assert inspect.signature(f).parameters["max_features"].default == 5000
