@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Pieces packed by one call.
 SHARD_PIECES = 4096
+#: A caller's shard of more pieces is cut by hash into shards of about so many at most.
+MOST_PIECES = 2 * SHARD_PIECES
 
 
 def cost(capacity: int, overhead: int) -> float:
@@ -84,7 +86,10 @@ def pack_sequences(
         shards = max(1, -(-pieces.count() // SHARD_PIECES))
         pieces = pieces.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("string"))
     else:
-        pieces = pieces.withColumn("__shard", F.col("__deal"))
+        cuts = F.ceil(F.col("n") / MOST_PIECES)
+        large = pieces.groupBy("__deal").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_PIECES).select("__deal", cuts.alias("__cuts"))
+        cut = F.concat_ws("/", "__deal", F.pmod(F.xxhash64("doc_id", "piece"), F.col("__cuts")).cast("string"))
+        pieces = pieces.join(large, "__deal", "left").withColumn("__shard", F.when(F.col("__cuts").isNull(), F.col("__deal")).otherwise(cut))
     id_type = docs.schema[doc_id].dataType
     schema = T.StructType(
         [T.StructField("doc_id", id_type)]

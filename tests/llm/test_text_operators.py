@@ -398,3 +398,11 @@ def test_query_columns(spark):
     assert got.columns == ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
     empty = got.where("n_lines = n_dropped").first()
     assert empty is None or empty.kept_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_large_shards_are_cut(spark, docs_of):
+    docs = docs_of([(i, "x") for i in range(30)])
+    out = pack_sequences(docs, F.lit(4096 * 1000), shard=F.when(F.col("doc_id") < 29, "a").otherwise("b")).collect()
+    shards = Counter(x.bin_id.split(":")[0] for x in out)
+    assert len(out) == 30_000 == len({(x.doc_id, x.piece) for x in out})
+    assert max(shards.values()) < 9000 and shards["b"] == 1000 and all(k[0] == "a" for k in shards if k != "b")
