@@ -3,92 +3,59 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panolith.llm.search import search_blocks, sound
+from panolith.llm.search import BLOCK_ROWS, GROUP_QUERIES, classes_of, encoded, exact_end, product_bounds, queries_of, scan_blocks, sound
 
 #: Products below this are exact in double precision.
 EXACT = 2.0**53
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
-def cells(rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The approximation file of a block: the centre of each value's cell, and the cells' half widths."""
-    low, high = rows.min(0), rows.max(0)
-    width = np.maximum(np.ceil((high - low + 1) / 2**bits), 1)
-    return low + (np.floor((rows - low) / width) + 0.5) * width, width / 2
-
-
-def va_top_k(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, bits: int = 4) -> tuple:
-    """(query index, row index, score) of each query's k largest inner products; ties to smaller ids.
-
-    First the cells alone bound every product; rows whose upper bound is under the k-th
-    largest lower bound are never read. The rest is read in the order of the upper bounds
-    until the k-th score found is above every bound left.
-    """
-    if np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * rows.shape[1] >= EXACT:
-        return _wide_top_k(q_ids, queries, ids, rows, k)
-    queries, rows = queries.astype(float), rows.astype(float)
-    centre, half = cells(rows, bits)
-    found_q, found_r, found_s = [], [], []
-    for s in range(0, len(queries), 256):
-        part = queries[s : s + 256]
-        middle, slack = part @ centre.T, np.abs(part) @ half
-        for i in range(len(part)):
-            upper = middle[i] + slack[i]
-            upper[ids == q_ids[s + i]] = -np.inf
-            n = int(np.isfinite(upper).sum())
-            if not n:
-                continue
-            floor = np.partition(upper, len(upper) - min(k, n))[len(upper) - min(k, n)] - 2 * slack[i]
-            near = np.flatnonzero((upper >= floor) & np.isfinite(upper))
-            near = near[np.argsort(-upper[near], kind="stable")]
-            seen, score = 0, np.empty(0)
-            while seen < len(near) and (seen < k or np.partition(score, seen - k)[seen - k] <= upper[near[seen]]):
-                step = near[seen : seen + max(k, 64)]
-                score = np.concatenate([score, rows[step] @ part[i]])
-                seen += len(step)
-            best = np.lexsort((ids[near[:seen]], -score))[:k]
-            found_q.append(np.full(len(best), s + i))
-            found_r.append(near[best])
-            found_s.append(score[best])
-    return _joined(found_q, found_r, [x.astype(np.int64) for x in found_s])
-
-
-def _wide_top_k(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple:
-    """The same in whole-number arithmetic without bounds, for values too large for doubles."""
-    found_q, found_r, found_s = [], [], []
-    exact = [[int(x) for x in row] for row in rows]
-    for i, q in enumerate(queries):
+def products(q: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[float]]:
+    """Whole-number inner products, at the ends of 64 bits if they lie beyond, and minus them."""
+    if np.abs(q).max(initial=0) * np.abs(rows).max(initial=0) * len(q) < EXACT:
+        score = [int(x) for x in rows @ q]
+    else:
         mine = [int(x) for x in q]
-        product = (sum(a * b for a, b in zip(mine, row, strict=True)) for row in exact)
-        bounded = [max(min(x, 2**63 - 1), -(2**63)) for x in product]
-        score = sorted((-x, int(ids[j]), j) for j, x in enumerate(bounded) if ids[j] != q_ids[i])[:k]
-        found_q.append(np.full(len(score), i))
-        found_r.append(np.array([j for *_, j in score], dtype=int))
-        found_s.append(np.array([-x for x, *_ in score], dtype=np.int64))
-    return _joined(found_q, found_r, found_s)
-
-
-def _joined(q: list, r: list, s: list) -> tuple:
-    if not q:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int64)
-    return np.concatenate(q), np.concatenate(r), np.concatenate(s)
+        score = [max(LEAST, min(MOST, sum(int(a) * b for a, b in zip(row, mine, strict=True)))) for row in rows]
+    return score, [-float(x) for x in score]
 
 
 def exact_top_k(
-    vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", **blocks: int
+    vectors: DataFrame,
+    k: int = 5,
+    every: int = 50,
+    scale: int = 256,
+    vec_id: str = "vec_id",
+    embedding: str = "embedding",
+    block_rows: int = BLOCK_ROWS,
+    group_queries: int = GROUP_QUERIES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k rows of largest whole-number inner product.
 
     A component x becomes floor(scale x), x as double. Queries are the rows whose id is divisible
     by `every`, each against all rows but those of its own id; ties go to the smaller id, and
-    queries with fewer candidates get all. Vectors that are null or empty, or that hold null
-    or non-finite components, take no part, nor do rows without id; vectors of different
-    length aren't compared. A repeated row is a candidate each time, but one query (of its id,
-    the least vector). Scores past 64 bits stand at, and are ranked by, their bound. An empty table gives none.
+    queries with fewer candidates get all.
+
+    The approximation file has one byte per component: the cell of the row's own grid. It alone is
+    scanned for every query, and gives bounds of each product; then the exact vectors of what may
+    still stand among the best are read, best bound first, until the k-th result is certain.
+    Equal vectors are one row of the file, so a vector that many rows share is compared once.
+
+    Vectors that are null or empty, or that hold null or non-finite components, take no part,
+    nor do rows without id; vectors of different length aren't compared. A repeated row is a
+    candidate each time, but an id is one query, of its least vector (the shorter first, if
+    it has vectors of two lengths). Scores past 64 bits stand at, and are ranked by, their bound.
+    An empty table gives none.
     """
-    whole = sound(vectors, vec_id, embedding).select(
-        "id", F.transform("vec", lambda x: F.floor(x.cast("double") * float(scale)).cast("double")).alias("vec")
-    )
-    return search_blocks(whole, F.col("id") % every == 0, lambda a, b, c, d: va_top_k(a, b, c, d, k), "long", k, False, **blocks)
+
+    def cut(x: Column) -> Column:
+        y = x.cast("double") * float(scale)
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole
+
+    whole = sound(vectors, vec_id, embedding).select("id", F.transform("vec", cut).alias("vec"))
+    queries, classes = queries_of(whole, F.col("id") % every == 0), classes_of(whole, k)
+    found = scan_blocks(queries, encoded(classes), product_bounds, k + 1, block_rows, group_queries)
+    return exact_end(found, queries, classes, products, "long", k).drop("seen")
