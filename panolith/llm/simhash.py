@@ -156,6 +156,8 @@ def allocation(n: int, both: np.ndarray, differ: int, most_partitions: int = 16)
             plans = step
         if total in plans and plans[total][0] < best[0]:
             best = (plans[total][0], [(g, t) for g, t in zip(groups, plans[total][1], strict=True) if t >= 0])
+    if not best[1]:
+        raise ValueError(f"no groups of {bits} bits find all pairs that differ in {differ}")
     return best[1]
 
 
@@ -200,10 +202,14 @@ def dealt(rows: DataFrame, classes: DataFrame, plan: list[tuple[list[int], int]]
     largest = keys.agg(F.max("count")).first()[0] or 0
     if largest << max((t for _, t in plan), default=0) <= hot_rows:
         return rows
+    return deal_hot(rows, [f"fp{w}" for w in range(words)], hot_rows)
+
+
+def deal_hot(rows: DataFrame, cols: list[str], hot_rows: int) -> DataFrame:
+    """`rows` of (file, cols) with files of over `hot_rows` rows dealt by pairs of blocks."""
     sizes = written(rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows), "hot_files")
     if not sizes.count():
         return rows
-    cols = [f"fp{w}" for w in range(words)]
     blocks = F.ceil(F.col("n") / hot_rows)
     own = F.pmod(F.xxhash64(*cols), blocks)
     pair = F.struct(F.least("own", "other"), F.greatest("own", "other"))

@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline as pipeline
+from panolith.llm import neardup
 from panolith.llm.packing import word_tokens
 from panolith.llm.simhash import fingerprint
 from panolith.session import written
@@ -69,7 +72,9 @@ def test_run(spark):
     assert {"doc_id", "bin_id", "capacity"} <= set(out.columns) and out.count() > 0
 
 
-def test_near_dedup_is_by_similarity(spark, docs_of):
+@pytest.mark.parametrize("block", [1 << 16, 600])
+def test_near_dedup_is_by_similarity(spark, docs_of, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block)
     r = random.Random(5)
     texts = []
     for g in range(40):
@@ -104,3 +109,27 @@ def test_near_dedup_is_by_similarity(spark, docs_of):
     assert 40 < len(want) < len(texts) - 40
     got = [x.doc_id for x in pipeline.drop_copies(spark, docs_of(list(enumerate(texts))), "").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_pairs_at_the_bound(spark, docs_of):
+    """Pairs just over 0.8 lose one text each, pairs just under it none."""
+    r = random.Random(8)
+    texts, close = [], []
+    while len(close) < 400:
+        base = [f"v{r.randrange(5000)}" for _ in range(r.randrange(60, 160))]
+        t = list(base)
+        one = {tuple(base[i : i + 5]) for i in range(len(base) - 4)}
+        for k in range(40):
+            t[r.randrange(len(t))] = f"e{r.randrange(10**9)}"
+            two = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+            j = len(one & two) / len(one | two)
+            if j < 0.83:
+                break
+        if 0.76 <= j:
+            close.append(j >= 0.8)
+            texts += [" ".join(base), " ".join(t)]
+    kept = {x.doc_id for x in pipeline.drop_copies(spark, docs_of(list(enumerate(texts))), "").collect()}
+    lost = [2 * n + 1 not in kept for n in range(len(close))]
+    assert all(2 * n in kept for n in range(len(close)))
+    assert 100 < sum(close) < 300 and not any(x and not y for x, y in zip(lost, close))
+    assert sum(x and y for x, y in zip(lost, close)) >= 0.99 * sum(close)

@@ -122,7 +122,7 @@ def test_clusters_are_found_among_few_candidates(spark):
     m = centre[np.arange(8000) % 400] + 0.15 * rng.normal(size=(8000, 32))
     e = {i: [float(x) for x in v.astype(np.float32)] for i, v in enumerate(m)}
     found, met = recall(e, nearest(vectors(spark, list(e.items())), share=0.001, least_entries=0).collect())
-    assert found >= 0.95 and met < 0.04
+    assert found >= 0.95 and met < 0.05
 
 
 def test_va_query(spark):
