@@ -1,10 +1,9 @@
-"""License scans: phrases, and text blocks and word windows that contain most of a license notice's words."""
+"""License scans: phrases, and blocks of text that contain most of a license notice's words."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections import Counter, deque
+from collections.abc import Iterator, Mapping
 from math import ceil
 
 import pyarrow as pa
@@ -56,133 +55,91 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
-#: A-Z in lower case; bytes outside words become blanks, but line ends stay.
+#: A-Z in lower case; bytes outside words become blanks.
 _WORD_BYTES = bytes(
-    b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b == 0x0A else 0x20
-    for b in range(256)
+    b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
 )
-_PARAGRAPH = re.compile(rb"\n *\n")
-#: Notices of so many distinct words are sought in paragraphs, shorter ones in single lines.
-LONG_NOTICE = 20
-#: A window holds so many times a notice's words, repeats included.
+#: A block is a window of so many times a notice's words, repeats included.
 WINDOW = 1.5
-#: Longer paragraphs are cut into blocks of so many words, each half over the next.
-BLOCK_WORDS = 240
+#: Notices of a table are read by the driver and sent to the tasks, up to so many.
+MOST_NOTICES = 10_000
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
-def blocks_of(body: bytes) -> Iterator[tuple[bool, int, int, list[bytes]]]:
-    """(is a line, first word, end, words) of every line and of every block of a paragraph."""
-    at = 0
-    for paragraph in _PARAGRAPH.split(body):
-        words: list[bytes] = []
-        for line in paragraph.split(b"\n"):
-            cut = line.split()
-            if cut:
-                yield True, at + len(words), at + len(words) + len(cut), cut
-            words += cut
-        for s in range(0, max(1, len(words) - BLOCK_WORDS // 2), BLOCK_WORDS // 2):
-            part = words[s : s + BLOCK_WORDS]
-            if part:
-                yield False, at + s, at + s + len(part), part
-        at += len(words)
-
-
 class NoticeJoin:
-    """Exact containment join of text blocks with notices.
-
-    Words have one global order, rarest in the corpus first. A block with at least need of a
-    notice's n words shares a word of the notice's first n - need + 1 and of its own first
-    size - need + 1 words; a match at positions p and q allows an overlap of at most
-    1 + min(n - p - 1, size - q - 1). Blocks with too few words of any notice are passed over.
+    """Exact containment join of a text's blocks with notices.
+
+    A notice's blocks are the windows of WINDOW times its words, from every word of the text on,
+    whatever lines and paragraphs they cross. Words have one global order, rarest in the corpus first.
+    A block with at least need of a notice's n distinct words holds one of the first n - need + 1
+    in that order (prefix). If the first that it holds stands at place p, it can hold n - p at
+    most, and no more than the later words found around it (position); texts of fewer than need
+    words are passed over (length). What passes is counted by sliding the window.
     """
 
-    def __init__(self, notices: list[tuple[str, frozenset]], frequency: Mapping[bytes, int], threshold: float, sizes: Sequence[int] = ()) -> None:
-        vocabulary = sorted(set().union(*(w for _, w in notices)), key=lambda w: (frequency.get(w, 0), w))
-        self.rank = {w: i for i, w in enumerate(vocabulary)}
+    def __init__(self, notices: list[tuple[str, list[bytes]]], frequency: Mapping[bytes, int], threshold: float) -> None:
         self.labels = [label for label, _ in notices]
-        self.sets = [frozenset(self.rank[w] for w in words) for _, words in notices]
-        self.need = [max(1, ceil(threshold * len(s) - 1e-9)) for s in self.sets]
-        self.long = [len(s) >= LONG_NOTICE for s in self.sets]
-        self.least = {kind: min((n for n, k in zip(self.need, self.long, strict=True) if k == kind), default=1 << 30) for kind in (True, False)}
-        self.prefix: dict[int, list[tuple[int, int]]] = {}
-        for t, s in enumerate(self.sets):
-            for p, r in enumerate(sorted(s)[: len(s) - self.need[t] + 1]):
-                self.prefix.setdefault(r, []).append((t, p))
-        self.words = [words for _, words in notices]
-        self.window = [ceil(WINDOW * n) for n in sizes or map(len, self.sets)]
-        self.anchors = {vocabulary[r]: [t for t, _ in of] for r, of in self.prefix.items()}
+        self.words = [frozenset(words) for _, words in notices]
+        self.need = [max(1, ceil(threshold * len(s) - 1e-9)) for s in self.words]
+        self.window = [ceil(WINDOW * len(words)) for _, words in notices]
+        self.prefix: dict[bytes, list[tuple[int, frozenset]]] = {}
+        for t, s in enumerate(self.words):
+            order = sorted(s, key=lambda w: (frequency.get(w, 0), w))
+            for p, w in enumerate(order[: len(s) - self.need[t] + 1]):
+                self.prefix.setdefault(w, []).append((t, frozenset(order[p + 1 :])))
+
+    def anchors(self, words: list[bytes]) -> dict[int, list[int]]:
+        """For each notice the places of prefix words with enough later words of the order around them."""
+        out: dict[int, list[int]] = {}
+        prefix = self.prefix
+        if prefix.keys().isdisjoint(words):
+            return out
+        for i, w in enumerate(words):
+            for t, later in prefix.get(w, ()):
+                need, size = self.need[t], self.window[t]
+                if need <= len(words) and 1 + len(later.intersection(words[max(0, i - size + 1) : i + size])) >= need:
+                    out.setdefault(t, []).append(i)
+        return out
 
-    def windows(self, words: list[bytes]) -> Iterator[tuple[int, int, int, float]]:
-        """(notice, first word, end, containment) of all runs of windows that hold a notice up to the threshold.
+    def blocks(self, words: list[bytes]) -> Iterator[tuple[int, int, int, float]]:
+        """(notice, first word, end, containment) of all runs of blocks that hold a notice up to the threshold.
 
-        A window starts at every word of the text and ends `window` words on, whatever lines and
-        paragraphs it crosses. It holds one of the notice's first n - need + 1 words, so only
-        windows around those are counted. Windows that overlap are one run, from the first
-        to the last of the notice's words in it.
+        Blocks that overlap are one run, from the first to the last of the notice's words in it.
         """
-        near: dict[int, list[int]] = {}
-        anchors = self.anchors
-        if anchors.keys().isdisjoint(words):
-            return
-        for i, w in enumerate(words):
-            for t in anchors.get(w, ()):
-                near.setdefault(t, []).append(i)
-        for t, places in near.items():
+        for t, places in self.anchors(words).items():
             size, need, of = self.window[t], self.need[t], self.words[t]
-            counts: dict[bytes, int] = {}
-            run, done = None, 0
+            counts: Counter = Counter()
+            held: deque[int] = deque()
+            run, e = None, 0
             for i in places:
-                if i - size + 1 > done:
-                    counts, done = {}, i - size + 1
-                start = max(done, 0)
-                for e in range(start, min(len(words), i + size)):
-                    old = words[e - size] if e >= size else None
-                    if old in counts:
-                        if counts[old] == 1:
+                if i - size + 1 > e:
+                    counts.clear()
+                    held.clear()
+                    e = i - size + 1
+                while e < min(len(words), i + size):
+                    while held and held[0] <= e - size:
+                        old = words[held.popleft()]
+                        counts[old] -= 1
+                        if not counts[old]:
                             del counts[old]
-                        else:
-                            counts[old] -= 1
-                    w = words[e]
-                    if w not in of:
-                        continue
-                    counts[w] = counts.get(w, 0) + 1
-                    if len(counts) >= need:
-                        first = next(k for k in range(max(0, e - size + 1), e + 1) if words[k] in of)
-                        share = len(counts) / len(of)
-                        if run and first < run[1]:
-                            run = (run[0], e + 1, max(run[2], share))
-                        else:
-                            if run:
-                                yield t, *run
-                            run = (first, e + 1, share)
-                done = max(done, min(len(words), i + size))
+                    if words[e] in of:
+                        held.append(e)
+                        counts[words[e]] += 1
+                        if len(counts) >= need:
+                            share = len(counts) / len(of)
+                            if run and held[0] < run[1]:
+                                run = (run[0], e + 1, max(run[2], share))
+                            else:
+                                if run:
+                                    yield t, *run
+                                run = (held[0], e + 1, share)
+                    e += 1
             if run:
                 yield t, *run
 
-    def matches(self, is_line: bool, words: list[bytes]) -> list[tuple[int, float]]:
-        """(notice, containment) of all notices that the block holds up to the threshold."""
-        rank = self.rank
-        block = {rank[w] for w in words if w in rank}
-        if len(block) < self.least[not is_line]:
-            return []
-        order, tried, out = sorted(block), set(), []
-        for q, r in enumerate(order):
-            for t, p in self.prefix.get(r, ()):
-                need = self.need[t]
-                if t in tried or self.long[t] == is_line or q > len(order) - need:
-                    continue
-                if 1 + min(len(self.sets[t]) - p - 1, len(order) - q - 1) < need:
-                    continue
-                tried.add(t)
-                shared = len(block & self.sets[t])
-                if shared >= need:
-                    out.append((t, shared / len(self.sets[t])))
-        return out
-
 
 def word_frequencies(docs: DataFrame, text: str, vocabulary: frozenset) -> dict[bytes, int]:
     """In how many documents each word of the notices stands; over all documents, whole texts."""
@@ -201,10 +158,20 @@ def word_frequencies(docs: DataFrame, text: str, vocabulary: frozenset) -> dict[
     return {r["w"].encode(): r["n"] for r in rows}
 
 
+def notices_of(templates: tuple | DataFrame) -> list[tuple[str, list[bytes]]]:
+    """(label, words) of each notice that has words; a table of (label, notice) may have MOST_NOTICES rows."""
+    if isinstance(templates, DataFrame):
+        rows = templates.select("label", "notice").where("label IS NOT NULL AND notice IS NOT NULL").distinct().limit(MOST_NOTICES + 1).collect()
+        if len(rows) > MOST_NOTICES:
+            raise ValueError(f"over {MOST_NOTICES} notices; scan with parts of the table")
+        templates = sorted((r["label"], r["notice"]) for r in rows)
+    return [(label, words) for label, notice in templates if (words := words_of(notice))]
+
+
 def scan_licenses(
     docs: DataFrame,
     phrases: Mapping[str, str] = PHRASES,
-    templates: tuple = TEMPLATES,
+    templates: tuple | DataFrame = TEMPLATES,
     threshold: float = 0.9,
     text: str = "text",
 ) -> DataFrame:
@@ -213,39 +180,37 @@ def scan_licenses(
     Adds n_words, n_base (places of all phrases), first_word and last_word (least and largest
     start of one, null if none), base_labels and labels (distinct, sorted, comma-joined; labels
     has those of notices too), score (1 with a phrase, else the largest containment) and blocks
-    ("label:first word:end" of every block that holds at least `threshold` of a notice's
+    ("label:first word:end" of every run of blocks that hold at least `threshold` of a notice's
     distinct words, comma-joined in text order). They replace input columns of these names.
 
-    Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters. Notices
-    are compared with lines if short, else with paragraphs, long ones in half-overlapping blocks
-    of 240 words; and all of them with windows of 1.5 times their words from every word on,
-    across the ends of lines and paragraphs. A run of windows inside a block found for its notice
-    is not listed again. Null is an empty text: 0 words, no labels, score 0. Rows are scanned each
+    Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters, so line
+    ends, blank lines and comment marks part words like blanks do. Blocks are all windows of 1.5
+    times a notice's words (see `NoticeJoin`). Notices come as (label, notice) pairs or as a table of
+    these two columns. Null is an empty text: 0 words, no labels, score 0. Rows are scanned each
     by itself; an empty table gives an empty result. The word order comes from all documents;
     only notices' words are counted, so what the driver gets has their number.
     """
-    notices = [(label, frozenset(words_of(notice))) for label, notice in templates]
-    vocabulary = frozenset().union(*(w for _, w in notices)) if notices else frozenset()
-    join = NoticeJoin(notices, word_frequencies(docs, text, vocabulary), threshold, [len(words_of(notice)) for _, notice in templates])
+    notices = notices_of(templates)
+    vocabulary = frozenset(w for _, words in notices for w in words)
+    join = NoticeJoin(notices, word_frequencies(docs, text, vocabulary), threshold)
     sought = [(b" " + b" ".join(words_of(p)) + b" ", label) for p, label in phrases.items()]
 
     def make():
         def one(t: str | None):
-            body = (t or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES)
-            words = body.split()
+            words = words_of(t or "")
             line = b" " + b" ".join(words) + b" "
             starts, base = [], set()
             for phrase, label in sought:
-                at = line.find(phrase)
+                at, word, counted = line.find(phrase), 0, 0
                 while at >= 0:
-                    starts.append(line.count(b" ", 0, at))
+                    word, counted = word + line.count(b" ", counted, at), at
+                    starts.append(word)
                     base.add(label)
                     at = line.find(phrase, at + 1)
-            found = [(a, e, t, c) for is_line, a, e, w in blocks_of(body) for t, c in join.matches(is_line, w)]
-            found += [(a, e, t, c) for t, a, e, c in join.windows(words) if not any(u == t and b <= a and e <= f for b, f, u, _ in found)]
-            labels = base | {join.labels[t] for *_, t, _ in found}
+            found = list(join.blocks(words))
+            labels = base | {join.labels[t] for t, *_ in found}
             score = 1.0 if starts else max((c for *_, c in found), default=0.0)
-            spans = sorted({(a, e, join.labels[t]) for a, e, t, _ in found})
+            spans = sorted({(a, e, join.labels[t]) for t, a, e, _ in found})
             return (
                 len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)),
                 score, ",".join(f"{label}:{a}:{e}" for a, e, label in spans),
