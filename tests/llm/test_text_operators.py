@@ -7,6 +7,7 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from panolith.llm.license import TEMPLATES, NoticeJoin, scan_licenses, words_of
 from panolith.llm.linededup import drop_repeated_lines
 from panolith.llm.mixing import mix_sources, pfair_pattern, pfair_phases
 from panolith.llm.packing import pack, pack_sequences, word_tokens
-from panolith.llm.secrets import KINDS, false_discovery_steps, scan_secrets
+from panolith.llm.secrets import BANDS, CANDIDATE, DRIFT, ENCODINGS, KINDS, NAMED, SPREAD, false_discovery_steps, randomness, scan_secrets
 from panolith.llm.simhash import allocation, fingerprint, near_duplicates
 from panolith.llm.tokencount import PieceCounter, count_tokens
 from panolith.llm.toxicity import score_toxicity, train_toxicity
@@ -433,6 +434,72 @@ def test_secrets(spark, docs_of, odd_rows):
     assert scan_secrets(docs.limit(0)).count() == 0
 
 
+def plain_randomness(token):
+    """The battery in NumPy, with the exact normal tail."""
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    a, kappa = next(((a, k) for a, k in ENCODINGS if set(token) <= set(a)), (None, None))
+    if a is None:
+        return 1.0
+    v, n, size = np.array([a.index(c) + 1.0 for c in token]), len(token), len(a)
+    chi = (np.bincount(v.astype(int)) ** 2).sum() * size / n - n
+    extra = n * (size * kappa - 1)
+    p = [tail((size - 1 + extra - chi) / math.sqrt(2 * (size - 1 + 2 * extra)))]
+    high = v > (size + 1) / 2
+    expected = 2 * high.sum() * (n - high.sum()) / n + 1
+    z_runs = (1 + (high[1:] != high[:-1]).sum() - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9))
+    d = v - v.mean()
+    z_pairs = ((d[1:] * d[:-1]).sum() / max((d * d).sum(), 1e-9) + 1 / n) * math.sqrt(n)
+    if min(2 * tail(abs(z_runs)), 2 * tail(abs(z_pairs))) < 0.001:
+        return 1.0
+    drift = DRIFT * math.sqrt(n)
+    p += [tail((drift - z_runs) / SPREAD), tail((z_pairs + drift) / SPREAD)]
+    x = -sum(math.log(max(q, 1e-30)) for q in p)
+    return math.exp(-x) * (1 + x + x * x / 2)
+
+
+def some_tokens(r):
+    alphabets = [a for a, _ in ENCODINGS]
+    out = ["".join(r.choice(r.choice(alphabets[:k])) for _ in range(r.randrange(20, 90))) for k in range(1, len(alphabets)) for _ in range(6)]
+    out += ["".join(r.choice(a) for _ in range(r.randrange(20, 90))) for a in alphabets for _ in range(6)]
+    return out + ["a" * 30, "abcdefghijklmnopqrstuvwxyz", "ab" * 15, "aninternationalconstitutionalestablishment", "01234567890123456789"]
+
+
+def test_randomness_is_the_battery(spark):
+    tokens = some_tokens(random.Random(12))
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", randomness(F.col("t")).alias("p")).collect()
+    for x in got:
+        want = plain_randomness(x.t)
+        assert abs(math.log10(max(x.p, 1e-30)) - math.log10(max(want, 1e-30))) < 0.02 + 0.05 * max(0, -math.log10(max(want, 1e-30)) - 4), x.t
+
+
+def test_random_spans_pass_the_control(spark, docs_of):
+    """The random spans are those that a Benjamini-Hochberg control of each band of lengths passes."""
+    r = random.Random(13)
+    tokens = [t for t in some_tokens(r) if re.fullmatch(CANDIDATE, t)] + ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(20, 60))) for _ in range(200)]
+    rows = [(i, f"x {t} y") for i, t in enumerate(tokens)]
+    got = {x.doc_id for x in scan_secrets(docs_of(rows)).collect() if any(s.kind == "random" for s in x.secrets)}
+    p = spark.createDataFrame([(t,) for t in tokens], "t string").select(randomness(F.col("t")).alias("p")).collect()
+    step = [min(math.floor(-math.log10(max(x.p, 1e-30)) * 20), 600) for x in p]
+    band = [max(k for k, low in enumerate(BANDS) if len(t) >= low) for t in tokens]
+    want = set()
+    for k in range(len(BANDS)):
+        mine = sorted((10 ** (-step[i] / 20), i) for i in range(len(tokens)) if band[i] == k)
+        last = max((q for place, (q, _) in enumerate(mine, 1) if q * len(mine) <= 0.05 * sum(v <= q for v, _ in mine)), default=-1)
+        want |= {i for q, i in mine if q <= last and not re.fullmatch(NAMED, tokens[i])}
+    assert got == want and 30 < len(want) < len(tokens) - 100
+
+
+def test_many_digests_in_one_text(spark, docs_of):
+    r = random.Random(14)
+    lines = [f"{r.getrandbits(160):040x}" for _ in range(100_000)]
+    docs = docs_of([(1, "\n".join(f"ok {x}" for x in lines)), (2, "\n".join(f"token: {x}" for x in lines[:30_000]))])
+    began = time.time()
+    a, b = sorted(scan_secrets(docs).collect(), key=lambda x: x.doc_id)
+    assert time.time() - began < 90
+    assert [(s.start, s.end) for s in a.secrets] == [(44 * i + 3, 44 * i + 43) for i in range(100_000)]
+    assert Counter(s.kind for s in b.secrets) == {"assign": 30_000, "hex": 30_000}
+
+
 def test_false_discovery_steps():
     assert false_discovery_steps([], 0.05) == [601] * 4
     # 10 of 10 candidates at p = 1e-3: 1e-3 * 10 <= 0.05 * 10
