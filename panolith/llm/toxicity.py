@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panolith.llm.texts import map_texts
+from panolith.session import discard, written
 
 #: A-Z in lower case; ASCII white space and punctuation become blanks.
 _WORDS = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b > 127 else 32 for b in range(256))
@@ -77,6 +78,18 @@ def ftrl(rows: list[np.ndarray], marks: list[int], width: int, alpha: float, bet
     return weights(np.arange(width + 1))
 
 
+def called_for(rows: list[np.ndarray], width: int, l1: float, epochs: int) -> list[np.ndarray]:
+    """The rows without features that are too rare to get a weight.
+
+    While a feature has no weight, each time it is met moves its sum by a gradient, of at most
+    1; below L1 it has none, so one met at most L1 times in all epochs changes nothing.
+    """
+    times = np.bincount(np.concatenate(rows), minlength=width + 1) if rows else np.zeros(width + 1, dtype=int)
+    keep = times * epochs > l1
+    keep[width] = True
+    return [r[keep[r]] for r in rows]
+
+
 def train_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -84,49 +97,68 @@ def train_toxicity(
     doc_id: str = "doc_id",
     label: str = "toxic",
     train_rows: int = 24_000,
+    train_features: int = 1 << 26,
     width: int = 1 << 20,
     alpha: float = 4.0,
     beta: float = 1.0,
-    l1: float = 6.0,
+    l1: float = 10.0,
     l2: float = 0.01,
-    epochs: int = 6,
+    epochs: int = 9,
 ) -> ToxicityModel:
-    """A model fitted on about `train_rows` labelled documents outside the held-out fifth.
-
-    The sample is bounded on purpose: labelled rows whose id hashes under the share that
-    leaves train_rows of them, in hash order, in one task, at most 5/4 of train_rows. All text
-    of a sampled document counts. The rates and the strong L1, which keeps a feature only if
-    several documents call for it, were chosen on a fifth of the training rows. Null labels, ids and texts give no example; an id labelled
-    more than once counts with its largest label. Only text reaches the features. Without
-    examples every score is near 0.
+    """A model fitted on at most `train_rows` labelled documents outside the held-out fifth.
+
+    The sample is bounded on purpose: the labelled ids of least hash, so the same ones in every
+    run, and of them as many as have `train_features` features together. All text of a
+    sampled document counts. Features are hashed where the texts are; one task gets numbers
+    only (at most 4 train_features bytes) and fits the weights. The rates, epochs and the
+    strong L1, which keeps a feature only if several documents call for it, were chosen on a fifth of
+    the training rows. Null labels, ids and texts give no example; an id labelled more than
+    once counts with its largest label, and one with several texts with the least of them. Only text
+    reaches the features. Without examples every score is near 0.
     """
     marked = (
         labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
         .groupBy(F.col(doc_id).alias("__id"))
-        .agg(F.max(F.col(label)).alias("__y"))
+        .agg(F.max(F.col(label)).cast("int").alias("__y"))
     )
     total = marked.count()
-    spread = F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(1_000_003))
-    share = min(1.0, train_rows / max(total, 1))
-    some = marked.where(spread < int(share * 1_000_003) + 1)
+    least = marked.select("__id", "__y", F.xxhash64(F.lit(11), "__id").alias("__h"))
+    if total > train_rows:
+        # All below the hash that leaves a few more, so that only about those are sorted.
+        share = min(1.0, (train_rows + 8 * train_rows**0.5) / total)
+        few = least.where(F.col("__h") <= int(-(2**63) + share * 2**64) - 1)
+        least = (few if few.count() >= train_rows else least).orderBy("__h", "__id").limit(train_rows)
     sample = (
         docs.where(F.col(text).isNotNull())
         .select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-        .join(some, "__id")
-        .select("__text", F.col("__y").cast("int").alias("__y"), F.xxhash64("__id").alias("__h"))
-        .limit(train_rows * 5 // 4)
+        .join(written(least, "toxicity_sample"), "__id")
+        .groupBy("__h", "__id", "__y")
+        .agg(F.min("__text").alias("__text"))
+        .select("__h", "__y", "__text")
     )
 
+    def make():
+        known = WordHashes()
+        return lambda texts: [[np.unique(features(t, known, width)).astype("<i4").tobytes() for t in texts]]
+
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, rows = WordHashes(), []
+        rows, marks, n = [], [], 0
         for batch in batches:
-            rows += [(h, y, np.unique(features(t, known, width)).astype(np.int32)) for t, y, h in zip(batch["__text"], batch["__y"], batch["__h"], strict=True)]
-        rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
-        w = ftrl([r[2] for r in rows], [r[1] > 0 for r in rows], width, alpha, beta, l1, l2, epochs)
+            for y, f in zip(batch["__y"], batch["__features"], strict=True):
+                n += len(f) // 4
+                if n <= train_features:
+                    rows.append(np.frombuffer(f, dtype="<i4"))
+                    marks.append(y > 0)
+            if n > train_features:
+                break
+        w = ftrl(called_for(rows, width, l1, epochs), marks, width, alpha, beta, l1, l2, epochs)
         i = np.flatnonzero(w)
         yield pd.DataFrame({"i": i, "w": w[i]})
 
-    got = sample.repartition(1).mapInPandas(fit, "i long, w double").collect()
+    hashed = written(map_texts(sample, "__text", "__features binary", make), "toxicity_features")
+    one = hashed.repartition(1).sortWithinPartitions("__h", "__features")
+    got = one.mapInPandas(fit, "i long, w double").collect() if total else []
+    discard(hashed)
     if not total or not got:
         got = [(width, -20.0)]
     return ToxicityModel(width, np.array([r[0] for r in got]), np.array([r[1] for r in got]))

@@ -20,7 +20,7 @@ from panolith.llm.packing import pack, pack_sequences, word_tokens
 from panolith.llm.secrets import BANDS, CANDIDATE, DRIFT, ENCODINGS, KINDS, NAMED, SPREAD, false_discovery_steps, randomness, scan_secrets
 from panolith.llm.simhash import allocation, fingerprint, near_duplicates
 from panolith.llm.tokencount import PieceCounter, count_tokens
-from panolith.llm.toxicity import score_toxicity, train_toxicity
+from panolith.llm.toxicity import called_for, ftrl, score_toxicity, train_toxicity
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -168,6 +168,58 @@ def test_toxicity_learns_words(spark, docs_of, odd_rows):
     assert score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_rare_features_change_nothing():
+    r = np.random.default_rng(3)
+    rows = [np.unique(np.append(r.zipf(1.3, 40) % 500, 500)).astype(np.int32) for _ in range(300)]
+    marks = [bool(r.random() < 0.5) if 3 not in x else True for x in rows]
+    args = (500, 4.0, 1.0, 5.0, 0.01, 4)
+    few = called_for(rows, 500, 5.0, 4)
+    assert sum(map(len, few)) < sum(map(len, rows))
+    whole = ftrl(rows, marks, *args)
+    assert np.count_nonzero(whole) > 5 and (ftrl(few, marks, *args) == whole).all()
+
+
+def plain_ftrl(rows, marks, width, alpha, beta, l1, l2, epochs):
+    """FTRL-proximal coordinate by coordinate."""
+    z, n = [0.0] * (width + 1), [0.0] * (width + 1)
+
+    def weight(i):
+        pull = 0.0 if i == width else l1
+        if abs(z[i]) <= pull:
+            return 0.0
+        return -(z[i] - math.copysign(pull, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for row, y in zip(rows, marks):
+            w = {i: weight(i) for i in row}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in row:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range(width + 1)]
+
+
+def test_ftrl_is_the_method():
+    r = np.random.default_rng(4)
+    rows = [np.unique(np.append(r.integers(0, 30, 8), 30)) for _ in range(80)]
+    marks = [bool(2 in x or 5 in x) for x in rows]
+    args = (30, 1.0, 1.0, 0.5, 0.01, 3)
+    got, want = ftrl(rows, marks, *args), plain_ftrl(rows, marks, *args)
+    assert np.allclose(got, want, atol=1e-9) and np.count_nonzero(got) > 3
+
+
+def test_the_sample_is_bounded_and_repeatable(spark, docs_of):
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(["scum", "a", "b", "c", "d"]) for _ in range(6))) for i in range(400)]
+    rows += [(3, "z " * 10)] * 3
+    marks = spark.createDataFrame([(i, int("scum" in t)) for i, t in rows[:400]], "doc_id long, toxic int")
+    docs = docs_of(rows)
+    models = [train_toxicity(d, marks, train_rows=100, l1=1.0, **kw) for d, kw in ((docs, {}), (docs.repartition(7), {}), (docs, {"train_features": 300}))]
+    assert models[0].index.tolist() == models[1].index.tolist() and models[0].weight.tolist() == models[1].weight.tolist()
+    assert models[0].weight.tolist() != models[2].weight.tolist()
+
+
 # --- simhash
 
 
