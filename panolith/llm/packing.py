@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,39 +17,57 @@ SHARD_PIECES = 4096
 MOST_PIECES = 2 * SHARD_PIECES
 
 
-def cost(capacity: int, overhead: int) -> float:
-    """What a sequence costs: its tokens and a fixed part."""
-    return capacity + overhead
+def cost(capacity: int, overhead: int, attention: int) -> float:
+    """What a sequence costs: its tokens, a fixed part, and attention, which grows with the square of the length.
 
+    `attention` is the length at which the quadratic part costs as much as the linear one.
+    """
+    return capacity + overhead + capacity * capacity / attention
+
+
+def filling(lengths: list[int], n: int, room: int) -> int:
+    """Tokens of the first n of the ascending lengths that fill the room, the longest that fits each time."""
+    held = 0
+    while n and (n := bisect_right(lengths, room - held, 0, n)):
+        n -= 1
+        held += lengths[n]
+    return held
 
-def pack(lengths: Sequence[int], capacities: Sequence[int], overhead: int) -> tuple[list[int], list[int], list[int]]:
+
+def pack(lengths: Sequence[int], capacities: Sequence[int], overhead: int, attention: int) -> tuple[list[int], list[int], list[int]]:
     """(bin, offset) of each piece, and the capacity of each bin.
 
-    Longest pieces first. A piece goes to the open bin in which it leaves the least room;
-    if it fits none, the size opens that costs least for the tokens it can expect to hold: the
-    piece, and what is left to pack as far as it fits. At the end each bin shrinks to the
-    smallest permitted size that holds its contents.
+    Longest pieces first. A piece goes to the open bin in which it leaves the least room. If it
+    fits none, a size is opened: for each, the pieces still to be packed tell what a bin of it
+    would hold with this piece, and the size (downsized to that) of least cost per token held
+    wins. So a size is opened where the lengths at hand fill it well, not because it is large. At the
+    end each bin shrinks to the smallest permitted size that holds its contents.
     """
     sizes = sorted(set(capacities))
     bins, offsets = [0] * len(lengths), [0] * len(lengths)
     used: list[int] = []
     room: list[tuple[int, int]] = []
-    left = sum(lengths)
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n = lengths[i]
+    order = sorted(range(len(lengths)), key=lambda i: (lengths[i], -i))
+    ascending = [lengths[i] for i in order]
+
+    def fits(held: int) -> int:
+        return sizes[bisect_left(sizes, held)]
+
+    for rest in range(len(order) - 1, -1, -1):
+        i, n = order[rest], ascending[rest]
         at = bisect_left(room, (n, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
-            free = min((c for c in sizes if c >= n), key=lambda c: (cost(c, overhead) / min(c, left), c))
+            held = {c: n + filling(ascending, rest, c - n) for c in sizes if c >= n}
+            free = min(held, key=lambda c: (cost(fits(held[c]), overhead, attention) / held[c], c))
             b = len(used)
             used.append(0)
         bins[i], offsets[i] = b, used[b]
         used[b] += n
-        left -= n
         if free > n:
             insort(room, (free - n, b))
-    return bins, offsets, [sizes[bisect_left(sizes, u)] for u in used]
+    return bins, offsets, [fits(u) for u in used]
 
 
 def pack_sequences(
@@ -57,13 +75,15 @@ def pack_sequences(
     length: Column,
     capacities: Sequence[int] = (512, 1024, 2048, 4096),
     overhead: int = 64,
+    attention: int = 24_576,
     doc_id: str = "doc_id",
     shard: Column | None = None,
 ) -> DataFrame:
     """(doc_id, piece, start, length, bin_id, bin_offset, capacity): where each piece of each document goes.
 
     `length` is a column of tokens per document, at least 1 (less or null counts 1). Documents
-    over the largest capacity are cut into pieces of it, so nothing is dropped or cut off.
+    over the largest capacity are cut into pieces of it, so nothing is dropped or cut off. Sizes are
+    chosen jointly, by the cost per token (see `cost` and `pack`).
     Pieces are packed in shards, by default dealt by a hash into as many as keep a shard near
     4096 pieces, so no document or source decides how large a task gets. A bin holds pieces of one
     shard; its id is "shard:number". Rows are documents: null and repeated ids are packed each.
@@ -100,7 +120,7 @@ def pack_sequences(
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "length"], kind="stable", na_position="last").reset_index(drop=True)
-        bins, offsets, sizes = pack(rows["length"].tolist(), capacities, overhead)
+        bins, offsets, sizes = pack(rows["length"].tolist(), capacities, overhead, attention)
         return pd.DataFrame(
             {
                 "doc_id": rows["doc_id"],

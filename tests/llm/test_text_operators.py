@@ -16,7 +16,7 @@ from panolith.llm import queries
 from panolith.llm.license import TEMPLATES, NoticeJoin, scan_licenses, words_of
 from panolith.llm.linededup import drop_repeated_lines
 from panolith.llm.mixing import mix_sources, pfair_pattern, pfair_phases
-from panolith.llm.packing import pack, pack_sequences, word_tokens
+from panolith.llm.packing import cost, pack, pack_sequences, word_tokens
 from panolith.llm.secrets import BANDS, CANDIDATE, DRIFT, ENCODINGS, KINDS, NAMED, SPREAD, false_discovery_steps, randomness, scan_secrets
 from panolith.llm.simhash import allocation, fingerprint, near_duplicates
 from panolith.llm.tokencount import PieceCounter, count_tokens
@@ -295,15 +295,57 @@ def test_allocation_covers_every_pair():
 # --- packing
 
 
+SIZES = (512, 1024, 2048, 4096)
+
+
+def total_cost(sizes):
+    return sum(cost(c, 64, 24_576) for c in sizes)
+
+
 def test_pack_places_all_and_downsizes():
     r = random.Random(7)
     lengths = [r.randrange(1, 4097) for _ in range(700)]
-    bins, offsets, sizes = pack(lengths, (512, 1024, 2048, 4096), 64)
+    bins, offsets, sizes = pack(lengths, SIZES, 64, 24_576)
     for b, size in enumerate(sizes):
         spans = sorted((offsets[i], offsets[i] + lengths[i]) for i in range(700) if bins[i] == b)
         assert spans[0][0] == 0 and all(a[1] == c[0] for a, c in zip(spans, spans[1:]))
         assert spans[-1][1] <= size and (size == 512 or spans[-1][1] > size // 2)
-    assert sum(sizes) < 1.03 * sum(lengths) + 4096
+    assert sum(sizes) < 1.1 * sum(lengths)
+
+
+def test_sizes_are_chosen_jointly():
+    """Several sizes are used, and cost less than the largest alone with downsizing at the end."""
+    r = random.Random(8)
+    for most, gain in ((300, 0.03), (900, 0.03), (2000, 0.02), (4096, 0.01)):
+        lengths = [min(most, int(r.expovariate(3 / most)) + 1) for _ in range(1500)]
+        sizes = pack(lengths, SIZES, 64, 24_576)[2]
+        alone = pack(lengths, (4096,), 64, 24_576)
+        used = Counter()
+        for n, b in zip(lengths, alone[0]):
+            used[b] += n
+        downsized = [next(c for c in SIZES if c >= u) for u in used.values()]
+        assert total_cost(sizes) < (1 - gain) * total_cost(downsized)
+        assert max(Counter(sizes).values()) < len(sizes)
+
+
+def least_cost(lengths):
+    """The cost of the best of all ways to deal the lengths to bins."""
+
+    def go(i, bins):
+        if i == len(lengths):
+            return total_cost(next(c for c in SIZES if c >= b) for b in bins)
+        ways = [bins[:k] + [b + lengths[i]] + bins[k + 1 :] for k, b in enumerate(bins) if b + lengths[i] <= 4096]
+        return min(go(i + 1, w) for w in [*ways, [*bins, lengths[i]]])
+
+    return go(0, [])
+
+
+def test_pack_is_near_the_optimum():
+    r, share = random.Random(9), []
+    for _ in range(60):
+        lengths = [r.randrange(1, r.choice([400, 1500, 4097])) for _ in range(r.randrange(1, 8))]
+        share.append(total_cost(pack(lengths, SIZES, 64, 24_576)[2]) / least_cost(lengths))
+    assert min(share) >= 1 - 1e-12 and max(share) < 1.5 and sum(share) / len(share) < 1.08
 
 
 def test_pack_sequences(spark, docs_of, odd_rows):
