@@ -18,6 +18,19 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def by_document(docs: DataFrame, doc_id: str, once: DataFrame) -> DataFrame:
+    """(h1, h2, n): in how many documents each key of `once` (__k1, h1, h2), a row's keys, stands.
+
+    Rows whose id stands alone are counted before the shuffle. Only keys of ids that several
+    rows share are made distinct first.
+    """
+    again = written(docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__k1")).count().where("count > 1").select("__k1"), "repeated_ids")
+    rows = once.select("__k1", "h1", "h2")
+    if again.count():
+        rows = rows.join(again, "__k1", "left_anti").unionByName(rows.join(again, "__k1", "left_semi").distinct())
+    return rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+
+
 def drop_repeated_lines(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1
 ) -> DataFrame:
@@ -32,19 +45,20 @@ def drop_repeated_lines(
     and the text is reassembled from the positions that are left. Only hashes are shuffled for
     the counts; texts move once, for the reassembly.
 
-    Null text is one empty line and stays null if nothing is dropped. Rows are documents: a
-    repeated row counts anew. Rows are told apart by (doc_id, text), so a null doc_id is a value
-    like any other. An empty table gives an empty result.
+    Null text is one empty line and stays null if nothing is dropped. A document is a doc_id: rows
+    that repeat one count once for a line, rows without one count each. Each row keeps its own
+    text; rows are told apart by (doc_id, text). An empty table gives an empty result.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.withColumns({"__k1": F.col(doc_id), "__k2": F.xxhash64(F.col(text))})
     keys = F.transform(F.split(ascii_lower(body), "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)))
     hashes = [F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2")]
     counted = F.length("key") >= max(1, min_chars)
-    once = base.select(F.explode(F.array_distinct(keys)).alias("key")).where(counted).select(*hashes)
+    once = base.select("__k1", F.explode(F.array_distinct(keys)).alias("key")).where(counted).select("__k1", *hashes)
+    counts = by_document(docs, doc_id, once)
     lines = base.select("__k1", "__k2", F.posexplode(keys).alias("pos", "key")).where(counted).select("__k1", "__k2", "pos", *hashes)
     frequent = written(
-        once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"),
+        counts.where(F.col("n") >= min_docs).select("h1", "h2"),
         "frequent_lines",
     )
     if frequent.count() <= BROADCAST_LINES:

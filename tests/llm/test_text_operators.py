@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panolith.llm import queries
+from panolith.llm import linededup, queries
 from panolith.llm.license import TEMPLATES, NoticeJoin, scan_licenses, words_of
 from panolith.llm.linededup import drop_repeated_lines
 from panolith.llm.mixing import mix_sources, pfair_pattern, pfair_phases
@@ -33,11 +33,12 @@ def lower(s):
 
 
 def plain_lines(rows, min_docs):
-    seen = Counter()
+    seen = defaultdict(set)
     cut = [((t or "").split("\n")) for _, t in rows]
-    for lines in cut:
-        seen.update({lower(x.strip(BLANKS)) for x in lines} - {""})
-    gone = {k for k, n in seen.items() if n >= min_docs}
+    for n, ((i, _), lines) in enumerate(zip(rows, cut)):
+        for k in {lower(x.strip(BLANKS)) for x in lines} - {""}:
+            seen[k].add(("row", n) if i is None else i)
+    gone = {k for k, ids in seen.items() if len(ids) >= min_docs}
     out = []
     for (i, t), lines in zip(rows, cut):
         kept = [x for x in lines if lower(x.strip(BLANKS)) not in gone]
@@ -45,9 +46,12 @@ def plain_lines(rows, min_docs):
     return sorted(out, key=repr)
 
 
-def test_line_dedup(spark, docs_of, odd_rows):
+@pytest.mark.parametrize("broadcast", [400_000, 0])
+def test_line_dedup(spark, docs_of, odd_rows, monkeypatch, broadcast):
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", broadcast)
     r = random.Random(1)
     rows = odd_rows + [(100 + i, "\n".join(r.choice(["Menu ", " menu", "a", "b", "ÄHNLICH", "", f"own {i}"]) for _ in range(r.randrange(12)))) for i in range(60)]
+    rows += [(500, f"one id, ten rows\n{i}") for i in range(10)] + [(None, f"no id, ten rows\n{i}") for i in range(10)]
     docs = docs_of(rows).withColumns({"n_lines": F.lit("clash"), "pos": F.lit(1), "h1": F.lit(2), "line": F.lit("x")})
     out = drop_repeated_lines(docs, min_docs=10)
     assert set(out.columns) == {*docs.columns, "n_dropped"}
