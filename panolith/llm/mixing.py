@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panolith.session import written
+
 #: Rows of one hash bucket of a source, and buckets of one group, of the two-level prefix sums.
 BUCKET_ROWS, GROUP_BUCKETS = 128, 1024
 
@@ -86,7 +88,7 @@ def mix_sources(
 
     The driver gets one row per stream, as many as `shares` has entries. Running sums need no
     task to hold a source: they are taken in hash buckets of about 128 rows, over groups of
-    1024 buckets, and over the groups.
+    1024 buckets, and over the groups. Rows that are repeated more often than that are numbered first.
     """
     if not all(isinstance(q, int) and q > 0 for q in [*shares.values(), other_share]) or "" in shares:
         raise ValueError("shares are whole numbers above 0, of sources with a name")
@@ -100,6 +102,10 @@ def mix_sources(
         }
     )
     sizes = {r["mix_stream"]: r for r in rows.groupBy("mix_stream").agg(F.count(F.lit(1)).alias("n"), F.sum("__len").alias("c")).collect()}
+    if not rows.groupBy("__h").count().where(F.col("count") > BUCKET_ROWS).isEmpty():
+        # A row that is repeated so often would be one bucket; numbers in a written table tell its copies apart.
+        rows = written(rows.withColumn("__n", F.monotonically_increasing_id()), "numbered_rows")
+        rows = rows.withColumn("__h", F.xxhash64("__h", "__n")).drop("__n")
     session = docs.sparkSession
     counts = session.createDataFrame(
         [(s, -(-r["n"] // BUCKET_ROWS)) for s, r in sizes.items()], "mix_stream string, __buckets long"

@@ -110,6 +110,13 @@ def test_mix(spark, docs_of, odd_rows):
     assert mix_sources(docs.limit(0), {"src0": 1}).count() == 0
 
 
+def test_mix_of_one_row_repeated(spark, docs_of):
+    docs = docs_of([(1, "same text")] * 1500 + [(i, "other") for i in range(2, 40)])
+    out = mix_sources(docs, {"src1": 2}, block_chars=100).collect()
+    at = sorted((x.mix_stream, x.mix_block * 100 + x.mix_offset, len(x.text)) for x in out)
+    assert len(out) == 1538 and all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(at, at[1:]))
+
+
 # --- token counts
 
 
