@@ -1,9 +1,12 @@
 """Small checks of operators that no table query covers."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panolith import session
 from panolith.operators import canvas, gains, graph, images, kernels, layout, match, points, tiles
 from panolith.schema import Layout, Settings
 from panolith.sources import photos
@@ -187,3 +190,28 @@ def test_align_takes_the_reference_number_of_features():
 
     for f in (panorama.align, panorama.detect):
         assert inspect.signature(f).parameters["max_features"].default == 5000
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[3,2,1000]", "k8s://host"])
+def test_a_cluster_names_its_shared_folder(master):
+    def fake(base):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: base), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(fake(None))
+    assert session.shared_folder(fake("hdfs://host/shared/")) == "hdfs://host/shared"
+
+
+def test_written_tables_go(spark):
+    def there(df):
+        return df.count() == 3
+
+    with session.temporary_tables(spark) as kept:
+        a, b = (session.written(spark.range(3), name) for name in "ab")
+        kept.append(b)
+    assert there(b)
+    with pytest.raises(Exception, match="(?i)path|file"):
+        spark.read.parquet(a._panolith_folder)
+    session.discard(b)
+    with pytest.raises(Exception, match="(?i)path|file"):
+        spark.read.parquet(b._panolith_folder)
