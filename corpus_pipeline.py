@@ -15,15 +15,12 @@ from panolith.llm.neardup import drop_similar
 from panolith.llm.packing import SHARD_PIECES, pack_sequences, word_tokens
 from panolith.llm.queries import MIX_SHARES
 from panolith.llm.toxicity import score_toxicity, train_toxicity
-from panolith.session import load, written
+from panolith.session import discard, load, temporary_tables, written
 
 ORACLE_SQL = None
 
 #: Near copies have at least this Jaccard similarity of five-word shingles.
 SIMILARITY = 0.8
-#: Bits of 128 in which a pair of that similarity differs on average, 19.4, and a little more. The stage
-#: decides by the shingles; the tests hold what is left of their random texts against this.
-DIFFERENT_BITS = 21
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +38,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of copies and near copies.
 
     Documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8
-    or more. Of repeated rows of one id, and of a group without any id, one row stays.
+    or more. Groups to search come from the fingerprints' files, and sets decide. Of repeated rows of one id, and of a group without any id, one row stays.
     """
     return drop_similar(docs, shingle=5, similarity=SIMILARITY)
 
@@ -69,7 +66,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    """The stages over `documents`. Each stage's table is removed when the next one's is written."""
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with temporary_tables(spark) as kept:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+            kept.append(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
