@@ -128,10 +128,11 @@ def train_toxicity(
         share = min(1.0, (train_rows + 8 * train_rows**0.5) / total)
         few = least.where(F.col("__h") <= int(-(2**63) + share * 2**64) - 1)
         least = (few if few.count() >= train_rows else least).orderBy("__h", "__id").limit(train_rows)
+    least = written(least, "toxicity_sample")
     sample = (
         docs.where(F.col(text).isNotNull())
         .select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-        .join(written(least, "toxicity_sample"), "__id")
+        .join(least, "__id")
         .groupBy("__h", "__id", "__y")
         .agg(F.min("__text").alias("__text"))
         .select("__h", "__y", "__text")
@@ -159,6 +160,7 @@ def train_toxicity(
     one = hashed.repartition(1).sortWithinPartitions("__h", "__features")
     got = one.mapInPandas(fit, "i long, w double").collect() if total else []
     discard(hashed)
+    discard(least)
     if not total or not got:
         got = [(width, -20.0)]
     return ToxicityModel(width, np.array([r[0] for r in got]), np.array([r[1] for r in got]))

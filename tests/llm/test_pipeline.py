@@ -1,14 +1,15 @@
 """The pipeline's stages, each on its own input."""
 
 import random
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline as pipeline
 from panolith.llm import neardup
 from panolith.llm.packing import word_tokens
-from panolith.llm.simhash import fingerprint
-from panolith.session import written
+from panolith.llm.queries import QUERIES
+from panolith.session import shared_folder, temporary_tables, written
 
 
 def corpus(spark, docs_of, odd_rows):
@@ -38,13 +39,11 @@ def test_stages(spark, docs_of, odd_rows, tmp_path):
     assert lines.count() == clean.count() and not [r for r in lines.collect() if r.text and "footer" in r.text]
     assert all(r.n_chars == len(r.text or "") for r in lines.collect())
     single = written(pipeline.drop_copies(spark, lines, sf), "single")
-    kept, prints = single.collect(), {}
-    for r in lines.collect():
-        f = fingerprint(r.text, 5, 2)
-        prints[(r.doc_id, r.text)] = f[0] | f[1] << 64
-    left = [prints[(r.doc_id, r.text)] for r in kept]
-    assert all(bin(a ^ b).count("1") > pipeline.DIFFERENT_BITS for n, a in enumerate(left) for b in left[:n])
-    assert all(any(bin(f ^ k).count("1") <= 64 for k in left) for f in prints.values())
+    kept = single.collect()
+    left, all_ = ([set(neardup.shingle_hashes(r.text, 5).tolist()) for r in rows] for rows in (kept, lines.collect()))
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert not any(alike(a, b) for n, a in enumerate(left) for b in left[:n])
+    assert all(any(len(a & b) >= 0.5 * len(a | b) for b in left) for a in all_)
     mixed = written(pipeline.mix(spark, single, sf), "mixed")
     assert sorted(map(repr, mixed.collect())) == sorted(map(repr, kept))
     packed = pipeline.pack(spark, mixed, sf)
@@ -67,9 +66,23 @@ def test_empty_corpus(spark, docs_of, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def tables_left(spark):
+    return set(Path(shared_folder(spark).removeprefix("file:")).iterdir())
+
+
 def test_run(spark):
+    before = tables_left(spark)
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "bin_id", "capacity"} <= set(out.columns) and out.count() > 0
+    assert len(tables_left(spark) - before) == 1  # the result
+
+
+def test_operators_leave_no_tables(spark):
+    before = tables_left(spark)
+    for name in ("op2_cross_polytope", "op5_simhash"):
+        with temporary_tables(spark):
+            assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert tables_left(spark) == before
 
 
 @pytest.mark.parametrize("block", [1 << 16, 600])
