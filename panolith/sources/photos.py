@@ -72,27 +72,43 @@ def tiff_tags(data: bytes) -> dict:
     return out
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
-    """(type, body start, end) of ISO media boxes; size 1 means 64 bits follow, size 0 to the end."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
-        size, kind, head = struct.unpack_from(">I", data, start)[0], data[start + 4 : start + 8], 8
-        if size == 1 and start + 16 <= end:
-            size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
-        elif size == 0:
-            size = end - start
-        if size < head:
-            return
-        yield kind, start + head, min(start + size, end)
-        start += size
+#: Boxes that hold boxes, with the bytes before them.
+HOLDERS = {b"moov": 0, b"uuid:" + CANON_UUID.hex().encode(): 16}
+
+
+def box_index(data: bytes) -> list[tuple[bytes, int, int]]:
+    """(path, body start, end) of the ISO media boxes of a file, in its order; a path names the boxes around too.
+
+    A box is as long as its first 32 bits say; 1 stands for 64 bits after the name, and 0 for all
+    that is left. A uuid box has its number in its name. A box shorter than its head ends its level.
+    """
+    found, todo = [], [(b"", 0, len(data))]
+    while todo:
+        path, at, end = todo.pop()
+        if end - at < 8:
+            continue
+        said, name = struct.unpack_from(">I4s", data, at)
+        long = said == 1 and end - at >= 16
+        size = struct.unpack_from(">Q", data, at + 8)[0] if long else said or end - at
+        body = at + (16 if long else 8)
+        if at + size < body:
+            continue
+        last = min(at + size, end)
+        todo.append((path, at + size, end))
+        mark = name + b":" + data[body : body + 16].hex().encode() if name == b"uuid" else name
+        found.append((path + mark, body, last))
+        if mark in HOLDERS:
+            todo.append((path + mark + b"/", body + HOLDERS[mark], last))
+    return found
 
 
 class MediaBoxes:
     """Rows of the top-level boxes of a file's bytes."""
 
     def eval(self, content: bytes):
-        for kind, body, finish in boxes(bytes(content or b"")):
-            yield kind.decode("latin-1"), body, finish
+        for path, body, finish in box_index(bytes(content or b"")):
+            if b"/" not in path:
+                yield path[:4].decode("latin-1"), body, finish
 
 
 def media_boxes():
@@ -101,16 +117,11 @@ def media_boxes():
 
 
 def canon_tags(data: bytes) -> dict:
-    """Tags of the two directories that a CR3 file holds in moov/uuid."""
+    """Tags of the directories that a CR3 file holds in its maker's box; of a tag that stands twice the first."""
     out: dict = {}
-    for kind, body, end in boxes(data):
-        if kind != b"moov":
-            continue
-        for inner, at, stop in boxes(data, body, end):
-            if inner == b"uuid" and data[at : at + 16] == CANON_UUID:
-                for name, first, last in boxes(data, at + 16, stop):
-                    if name in (b"CMT1", b"CMT2"):
-                        out = tiff_tags(data[first:last]) | out
+    for path, body, end in box_index(data):
+        if path.startswith(b"moov/uuid:") and path.endswith((b"/CMT1", b"/CMT2")):
+            out = tiff_tags(data[body:end]) | out
     return out
 
 

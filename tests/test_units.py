@@ -153,7 +153,21 @@ def test_orientations():
 
 def test_media_boxes():
     body = b"\0\0\0\x10ftypcrx \0\0\0\1" + b"\0\0\0\x01moov" + (24).to_bytes(8, "big") + b"12345678" + b"\0\0\0\0mdatxyz"
-    assert [(k, e - s) for k, s, e in photos.boxes(body)] == [(b"ftyp", 8), (b"moov", 8), (b"mdat", 3)]
+    found = [(k, e - s) for k, s, e in photos.box_index(body)]
+    assert [x for x in found if b"/" not in x[0]] == [(b"ftyp", 8), (b"moov", 8), (b"mdat", 3)]
+
+
+def test_tags_of_a_cr3():
+    def box(name, body):
+        return (8 + len(body)).to_bytes(4, "big") + name + body
+
+    def tiff(tag, value):
+        return b"II*\0\x08\0\0\0\x01\0" + tag.to_bytes(2, "little") + b"\x02\0" + (len(value) + 1).to_bytes(4, "little") + b"\x1a\0\0\0\0\0\0\0" + value + b"\0"
+
+    inner = box(b"CMT1", tiff(0x0110, b"Maker One")) + box(b"CMT2", tiff(0xA434, b"A long lens")) + box(b"CMT3", tiff(0x010F, b"not read"))
+    data = box(b"ftyp", b"crx " + bytes(4)) + box(b"moov", box(b"free", b"xx") + box(b"uuid", photos.CANON_UUID + inner)) + box(b"uuid", bytes(16) + inner)
+    assert photos.canon_tags(data) == {"model": "Maker One", "lens": "A long lens"}
+    assert photos.canon_tags(data[:60]) == {} and photos.box_index(b"") == []
 
 
 def test_registering_skips_known_paths(spark):
