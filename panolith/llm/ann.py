@@ -169,7 +169,12 @@ def fitted(classes: DataFrame) -> dict[int, Fit]:
 
 
 def hot_cells(classes: DataFrame, tables: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of over `hot` entries, sorted, and the parts each is cut into; at most tables * rows / hot of them."""
+    """Cells of over `hot` entries, sorted, and the parts each is cut into; at most tables * rows / hot of them.
+
+    A class has one entry in a table, so with `hot` classes or fewer there is none.
+    """
+    if classes.count() <= hot:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

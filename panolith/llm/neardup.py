@@ -145,16 +145,15 @@ class Sets:
 
 
 def block_links(sets: Sets, similarity: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the block; a row that has been reached is compared no more."""
+    """(first, row) for every other row of each part of linked rows; a row that has been reached is compared no more."""
     unseen, out = np.ones(len(sets.size), dtype=bool), []
     for first in range(len(sets.size)):
         todo = [first] if unseen[first] else []
         unseen[first] = False
         while todo:
-            i = todo.pop()
-            near = sets.near(i, np.flatnonzero(unseen), similarity)
+            near = sets.near(todo.pop(), np.flatnonzero(unseen), similarity)
             unseen[near] = False
-            out += [(i, int(j)) for j in near]
+            out += [(first, int(j)) for j in near]
             todo += near.tolist()
     return out
 
@@ -193,8 +192,8 @@ def exact_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     dealt = rows.repartition(n, "group", "block").sortWithinPartitions("group", "block", "node")
     first = written(dealt.mapInPandas(within, "u long, v long"), "block_links")
-    parts = written(connected_components(first), "block_parts")
-    large = rows.where("blocks > 1").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    part = first.select(F.col("v").alias("node"), F.col("u").alias("part"))
+    large = rows.where("blocks > 1").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
     large = written(large, "large_groups")
     count = large.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"))
     main = written(count.groupBy("group").agg(F.max(F.struct("n", "part"))["part"].alias("main")), "main_parts")
@@ -213,7 +212,7 @@ def exact_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     dealt = marked.unionByName(sent).repartition(n, "group", "block").sortWithinPartitions("group", "block", "node")
     second = written(dealt.mapInPandas(across, "u long, v long"), "stray_links")
     out = written(first.unionByName(second), "links")
-    for old in (rows, first, parts, large, main, second):
+    for old in (rows, first, large, main, second):
         discard(old)
     return out
 

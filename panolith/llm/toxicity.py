@@ -16,25 +16,13 @@ from panolith.session import discard, written
 
 #: A-Z in lower case; ASCII white space and punctuation become blanks.
 _WORDS = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b > 127 else 32 for b in range(256))
-#: Words whose hash a task remembers.
-REMEMBERED = 500_000
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = crc32(word)
-        if len(self) < REMEMBERED:
-            self[word] = h
-        return h
-
-
-def features(text: str | None, known: WordHashes, width: int) -> np.ndarray:
+def features(text: str | None, width: int) -> np.ndarray:
     """Hashed features of the whole text: words, pairs of neighbours, and pairs one or two words apart.
 
     May repeat. Feature `width` is the bias and always there.
     """
     words = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
     grams = [h * np.uint64(0x9E3779B97F4A7C15)]
     for gap in (1, 2, 3):
         if len(h) > gap:
@@ -84,7 +72,9 @@ def called_for(rows: list[np.ndarray], width: int, l1: float, epochs: int) -> li
     While a feature has no weight, each time it is met moves its sum by a gradient, of at most
     1; below L1 it has none, so one met at most L1 times in all epochs changes nothing.
     """
-    times = np.bincount(np.concatenate(rows), minlength=width + 1) if rows else np.zeros(width + 1, dtype=int)
+    times = np.zeros(width + 1, dtype=int)
+    for r in rows:
+        times[r] += 1
     keep = times * epochs > l1
     keep[width] = True
     return [r[keep[r]] for r in rows]
@@ -139,8 +129,7 @@ def train_toxicity(
     )
 
     def make():
-        known = WordHashes()
-        return lambda texts: [[np.unique(features(t, known, width)).astype("<i4").tobytes() for t in texts]]
+        return lambda texts: [[np.unique(features(t, width)).astype("<i4").tobytes() for t in texts]]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, marks, n = [], [], 0
@@ -176,13 +165,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     width, dense = model.width, model
 
     def make():
-        known, w = WordHashes(), dense.dense()
+        w = dense.dense()
         used = w != 0
 
         def run(texts: list) -> list[list]:
             scores = []
             for t in texts:
-                i = features(t, known, width)
+                i = features(t, width)
                 scores.append(1 / (1 + np.exp(-np.clip(w[np.unique(i[used[i]])].sum(), -35, 35))))
             return [[float(s) for s in scores], [int(s >= 0.5) for s in scores]]
 
