@@ -46,6 +46,11 @@ def lens_users(params: DataFrame) -> DataFrame:
     return params.groupBy("lens_id").agg(F.array_sort(F.collect_list("image_id")).alias("users"))
 
 
+def lens_order(lenses: DataFrame) -> DataFrame:
+    """`lenses` with `place`, from 0, by id."""
+    return numbered(lenses, ["lens_id"], "place")
+
+
 def largest_megabytes(images: DataFrame) -> DataFrame:
     """One row: the size of the largest enabled photo decoded, 100 without any."""
     mb = F.max(F.col("width").cast("double") * F.col("height") * 3 / 1e6)

@@ -91,6 +91,12 @@ def pair_summary(points: DataFrame) -> DataFrame:
     )
 
 
+def by_error(points: DataFrame) -> DataFrame:
+    """`points` with `place`, from 0, in the order of their errors, largest first; points without one come last."""
+    keyed = points.withColumns({"__less": -F.coalesce("error", F.lit(float("-inf"))), "__index": F.col("cp_index")})
+    return numbered(keyed, ["__less", "__index"], "place").drop("__less", "__index")
+
+
 def by_image(points: DataFrame) -> DataFrame:
     """(image_id, cp_index, x, y, side): both sides of each point, one row each."""
     side = lambda p: F.struct(F.col(f"img_{p}").alias("image_id"), F.col(f"x{p}").alias("x"), F.col(f"y{p}").alias("y"), F.lit(p).alias("side"))

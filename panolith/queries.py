@@ -12,7 +12,7 @@ from math import pi, radians, tan
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panolith.functions import geometry, photometric, tags
+from panolith.functions import geometry, photometric, screen, tags
 from panolith.operators import canvas, gains, graph, images, layout, match, points, tiles
 from panolith.schema import Layout
 from panolith.session import load
@@ -80,6 +80,16 @@ def top_pairs(spark, sf_dir):
     return match.top_pairs(match.pair_votes(match.matches(features(spark, sf_dir), ratio=0.95)), 1, 3)
 
 
+@query(
+    _MATCHES
+    + """, ends AS (SELECT *, unnest([img_a, img_b]) AS image FROM votes WHERE votes >= 8)
+    SELECT DISTINCT img_a, img_b, votes, matches FROM (
+        SELECT *, row_number() OVER (PARTITION BY image ORDER BY votes DESC, img_a DESC, img_b DESC) AS n FROM ends) WHERE n <= 10"""
+)
+def top_pairs_default(spark, sf_dir):
+    return match.top_pairs(match.pair_votes(match.matches(features(spark, sf_dir), ratio=0.95)))
+
+
 @query(
     f"WITH {_FEATURES}"
     """, n AS (
@@ -246,28 +256,29 @@ def patch_point(spark, sf_dir):
 @query(
     _POINTS
     + """, old AS (SELECT cp_index, img_a, img_b, xa FROM p WHERE kind <> 'auto'),
-    new AS (SELECT img_a, img_b, xa, row_number() OVER (ORDER BY img_a, img_b, xa, ya, xb, yb) AS n FROM p WHERE kind = 'auto' AND cp_index < 400)
+    new AS (SELECT img_a, img_b, xa, row_number() OVER (ORDER BY img_a, img_b, xa, ya, xb, yb) AS n FROM p WHERE kind = 'auto')
     SELECT * FROM old UNION ALL SELECT (SELECT max(cp_index) FROM old) + n, img_a, img_b, xa FROM new"""
 )
 def merge_points(spark, sf_dir):
     p = event_points(spark, sf_dir)
-    return points.merge_points(p, p.where("kind = 'auto' and cp_index < 400")).select("cp_index", "img_a", "img_b", "xa")
+    return points.merge_points(p, p.where("kind = 'auto'")).select("cp_index", "img_a", "img_b", "xa")
 
 
 _GRAPH = """WITH RECURSIVE img AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0),
-    pt AS (SELECT o_orderkey, o_custkey AS a, 1 + (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) AS b FROM orders WHERE o_orderkey % 10 = 0),
-    e0 AS (SELECT a, b FROM pt WHERE o_orderkey % 30 <> 0 AND a <> b AND a IN (SELECT id FROM img) AND b IN (SELECT id FROM img)),
+    pt AS (SELECT o_custkey AS a, 1 + (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) AS b, o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AS enabled FROM orders),
+    e0 AS (SELECT a, b FROM pt WHERE enabled AND a <> b AND a IN (SELECT id FROM img) AND b IN (SELECT id FROM img)),
     e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
-    r(node, root) AS (SELECT id, id FROM img UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a),
-    g AS (SELECT node AS image_id, min(root) AS group_id FROM r GROUP BY 1)"""
+    r(node, root) USING KEY (node) AS (SELECT id, id FROM img UNION SELECT e.b, min(r.root) FROM r JOIN e ON r.node = e.a JOIN recurring.r AS k ON k.node = e.b WHERE r.root < k.root GROUP BY e.b),
+    g AS (SELECT node AS image_id, root AS group_id FROM r)"""
 
 
 def order_graph(spark, sf_dir):
     c = load(spark, sf_dir, "customer")
     n = c.count()
     photos = c.select(F.col("c_custkey").alias("image_id"), (F.col("c_acctbal") > 0).alias("enabled"))
-    o = load(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
-    pts = o.select(F.col("o_custkey").alias("img_a"), (1 + (F.col("o_custkey") * 7 + F.col("o_orderkey")) % n).alias("img_b"), (F.col("o_orderkey") % 30 != 0).alias("enabled"))
+    o = load(spark, sf_dir, "orders")
+    urgent = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")
+    pts = o.select(F.col("o_custkey").alias("img_a"), (1 + (F.col("o_custkey") * 7 + F.col("o_orderkey")) % n).alias("img_b"), urgent.alias("enabled"))
     return photos, pts
 
 
@@ -279,7 +290,7 @@ def image_groups(spark, sf_dir):
 @query(
     _GRAPH
     + """, s AS (SELECT group_id, count(*) AS n FROM g GROUP BY 1)
-    SELECT (SELECT count(*) FROM pt) AS total, (SELECT count(*) FROM pt WHERE o_orderkey % 30 <> 0) AS enabled, count(*) AS n_groups, max(n) AS largest, count(*) FILTER (WHERE n = 1) AS n_orphans FROM s"""
+    SELECT (SELECT count(*) FROM pt) AS total, (SELECT count(*) FROM pt WHERE enabled) AS enabled, count(*) AS n_groups, max(n) AS largest, count(*) FILTER (WHERE n = 1) AS n_orphans FROM s"""
 )
 def point_stats(spark, sf_dir):
     return points.stats(*order_graph(spark, sf_dir))
@@ -416,18 +427,191 @@ def panorama_tags(spark, sf_dir):
 @query(
     """SELECT page_id, lower(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) AS ending, regexp_extract(url, '([^/\\\\]+)[/\\\\]*$', 1) AS name,
     substr(sha1(url || '|' || length(html) || '|' || page_id || '|proxy'), 1, 20) AS key,
-    replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages"""
+    replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages"""
 )
 def path_functions(spark, sf_dir):
     p = load(spark, sf_dir, "pages")
     key = tags.cache_key(F.col("url"), F.length("html"), F.col("page_id"), "proxy")
-    return p.select("page_id", tags.ending(F.col("url")).alias("ending"), tags.base_name(F.col("url")).alias("name"), key.alias("key"), tags.xml_escaped(F.substring("html", 1, 200)).alias("escaped"))
+    return p.select("page_id", tags.ending(F.col("url")).alias("ending"), tags.base_name(F.col("url")).alias("name"), key.alias("key"), tags.xml_escaped(F.col("html")).alias("escaped"))
 
 
-@query("SELECT DISTINCT '/photos/' || p_name || '.JPG' AS path FROM part WHERE p_partkey % 3 <> 0 AND p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 3 = 0)")
+@query(
+    """WITH known AS (SELECT '/photos/' || p_partkey || '.JPG' AS path FROM part WHERE p_brand < 'Brand#3')
+    SELECT DISTINCT path FROM (SELECT '/photos/' || p_partkey || CASE WHEN p_size % 3 = 0 THEN '.txt' ELSE '.JPG' END AS path FROM part) WHERE path LIKE '%.JPG' AND path NOT IN (SELECT path FROM known)"""
+)
 def new_paths(spark, sf_dir):
+    p = load(spark, sf_dir, "part").withColumn("path", F.concat(F.lit("/photos/"), F.col("p_partkey"), F.when(F.col("p_size") % 3 == 0, ".txt").otherwise(".JPG")))
+    known = p.where("p_brand < 'Brand#3'").select(F.concat(F.lit("/photos/"), F.col("p_partkey"), F.lit(".JPG")).alias("path"))
+    return images.new_paths(p.select("path").unionByName(p.select("path")), known)
+
+
+_ENDINGS = ("jpg", "CR3", "txt", "Tiff", "gpr", "nef", "png", "JPEG", "md", "3fr", "exr")
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, '/a.b/' || p_name || '.' || {list(_ENDINGS)}[p_partkey % {len(_ENDINGS)} + 1] AS path FROM part)
+    SELECT p_partkey, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ending, ending IN ('cr3', 'nef', '3fr') AS raw, ending NOT IN ('txt', 'gpr', 'md') AS supported FROM p"""
+)
+def path_kinds(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("p_partkey") % len(_ENDINGS) + 1).cast("int"))
+    p = load(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/a.b/"), F.col("p_name"), F.lit("."), name).alias("path"))
+    return p.select("p_partkey", tags.ending(F.col("path")).alias("ending"), tags.is_raw(F.col("path")).alias("raw"), tags.is_supported(F.col("path")).alias("supported"))
+
+
+@query(_PHOTOS + " SELECT k AS image_id, w AS width, h AS height, round(w / greatest(w // 2, 1), 6) AS scale, round_even(w::DOUBLE * h / 1e6, 1) AS megapixels FROM p")
+def photo_sizes(spark, sf_dir):
+    p = photos(spark, sf_dir).withColumn("proxy_width", F.floor(F.col("width") / 2).cast("int"))
+    both = images.sizes(p).join(images.proxy_scale(p), "image_id")
+    return both.select("image_id", "width", "height", rounded("scale", "scale"), screen.megapixels(F.col("width"), F.col("height")).alias("megapixels"))
+
+
+@query(
+    """SELECT 'image' AS kind, p_partkey AS id FROM part WHERE p_partkey <> 7 UNION ALL SELECT 'pose', p_partkey FROM part WHERE p_partkey <> 7 UNION ALL SELECT 'light', p_partkey FROM part WHERE p_size < 20 AND p_partkey <> 7
+    UNION ALL SELECT 'point', event_id FROM events WHERE user_id % 20 <> 7 AND event_id % 20 <> 7"""
+)
+def remove_image(spark, sf_dir):
     p = photos(spark, sf_dir)
-    return images.new_paths(p.where("image_id % 3 <> 0").select("path"), p.where("image_id % 3 = 0"))
+    left = images.remove_image(7, p, p.select("image_id", "lens_id"), load(spark, sf_dir, "part").where("p_size < 20").select(F.col("p_partkey").alias("image_id")), event_points(spark, sf_dir))
+    out = [t.select(F.lit(kind).alias("kind"), F.col("cp_index" if kind == "point" else "image_id").cast("long").alias("id")) for kind, t in zip(("image", "pose", "light", "point"), left, strict=True)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query(_PHOTOS + " SELECT k AS image_id, CASE WHEN k = 9 THEN false ELSE enabled END AS enabled, CASE WHEN k = 9 THEN 4 ELSE lens_id END AS lens_id FROM p")
+def patch_image(spark, sf_dir):
+    return images.patch_image(photos(spark, sf_dir), 9, enabled=False, lens_id=4).select("image_id", "enabled", F.col("lens_id").cast("int").alias("lens_id"))
+
+
+@query("SELECT p_partkey AS image_id, round(CASE WHEN p_partkey = 9 THEN radians(30.0) ELSE p_size / 10.0 END, 6) AS yaw, round(CASE WHEN p_partkey = 9 THEN radians(-45.0) ELSE p_size / 20.0 END, 6) + 0.0 AS pitch, 0.0::DOUBLE AS roll FROM part")
+def patch_params(spark, sf_dir):
+    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), (F.col("p_size") / 10).alias("yaw"), (F.col("p_size") / 20).alias("pitch"), F.lit(0.0).alias("roll"))
+    return images.patch_params(p, 9, yaw=30, pitch=-45).select("image_id", *[rounded(c, c) for c in ("yaw", "pitch", "roll")])
+
+
+@query("SELECT s_suppkey AS lens_id, CASE WHEN s_suppkey = 3 THEN 75.5 ELSE 50.0 END::DOUBLE AS fov, 'rectilinear' AS projection, CASE WHEN s_suppkey = 3 THEN 0.01 ELSE 0.0 END::DOUBLE AS a FROM supplier")
+def patch_lens(spark, sf_dir):
+    lenses = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("lens_id"), F.lit(50.0).alias("fov"), F.lit("rectilinear").alias("projection"), F.lit(0.0).alias("a"))
+    return images.patch_lens(lenses, 3, fov=75.5, projection=None, a=0.01)
+
+
+@query("SELECT s_suppkey AS lens_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS place FROM supplier")
+def lens_order(spark, sf_dir):
+    return images.lens_order(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("lens_id")))
+
+
+@query(_POINTS + " SELECT cp_index, row_number() OVER (ORDER BY error DESC NULLS LAST, cp_index) - 1 AS place FROM p")
+def points_by_error(spark, sf_dir):
+    return points.by_error(event_points(spark, sf_dir)).select("cp_index", "place")
+
+
+@query("SELECT event_id, value / 500 >= 0.45 AS accepted FROM events")
+def accepted_suggestions(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", points.accepted_suggestion(F.col("value") / 500).alias("accepted"))
+
+
+# --- what a viewer computes
+
+
+@query(
+    """WITH p AS (SELECT event_id, value AS x, 0.5 + event_id % 7 AS zoom, (event_id % 90 - 45)::DOUBLE AS off FROM events)
+    SELECT event_id, round(x * (640 / 4000.0) * zoom + off, 6) AS shown, round(x, 6) AS back FROM p"""
+)
+def screen_places(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", F.col("value").alias("x"), (0.5 + F.col("event_id") % 7).alias("zoom"), (F.col("event_id") % 90 - 45).cast("double").alias("off"))
+    view = (F.col("zoom"), F.col("off"), F.lit(640.0), F.lit(4000.0))
+    e = e.withColumn("shown", screen.to_screen(F.col("x"), *view))
+    return e.select("event_id", rounded("shown", "shown"), rounded(screen.to_source(F.col("shown"), *view), "back"))
+
+
+@query(
+    """WITH m AS (SELECT s_suppkey % 5 AS pane, s_suppkey AS marker, (s_suppkey * 37 % 400)::DOUBLE AS vx, (s_suppkey * 91 % 300)::DOUBLE AS vy FROM supplier),
+    c AS (SELECT c_custkey AS cursor_id, c_custkey % 5 AS pane, (c_custkey * 13 % 400)::DOUBLE AS x, (c_custkey * 29 % 300)::DOUBLE AS y FROM customer)
+    SELECT cursor_id, max(marker) AS marker FROM c JOIN m USING (pane)
+    WHERE sqrt((x - vx) * (x - vx) + (y - vy) * (y - vy)) < 11 OR (x >= vx + 2 AND x < vx + 28 AND y >= vy AND y < vy + 18) GROUP BY 1"""
+)
+def marker_hits(spark, sf_dir):
+    at = lambda k, a, b: [(F.col(k) % 5).alias("pane"), (F.col(k) * a % 400).cast("double"), (F.col(k) * b % 300).cast("double")]
+    pane, vx, vy = at("s_suppkey", 37, 91)
+    m = load(spark, sf_dir, "supplier").select(pane, F.col("s_suppkey").alias("marker"), vx.alias("vx"), vy.alias("vy"))
+    pane, x, y = at("c_custkey", 13, 29)
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cursor_id"), pane, x.alias("x"), y.alias("y"))
+    return screen.marker_hits(m, c)
+
+
+@query(
+    """SELECT p_partkey, floor(p_size * 64 / 1.6 + 0.5)::INTEGER AS height, floor(p_size * 64 * 1.6 + 0.5)::INTEGER AS width,
+    CASE p_size % 3 WHEN 0 THEN 'stereographic' WHEN 1 THEN 'stereographic' END AS projection, CASE p_size % 3 WHEN 0 THEN -90.0 WHEN 1 THEN 90.0 END::DOUBLE AS center_pitch FROM part"""
+)
+def view_presets(spark, sf_dir):
+    p = load(spark, sf_dir, "part").withColumn("side", F.col("p_size") * 64)
+    view = screen.preset(F.element_at(F.array(F.lit("planet"), F.lit("tunnel"), F.lit("other")), F.col("p_size") % 3 + 1))
+    sides = [screen.other_side(F.col("side"), F.lit(1.6), wide).alias(n) for n, wide in (("height", False), ("width", True))]
+    return p.select("p_partkey", *sides, view["projection"].alias("projection"), view["center_pitch"].alias("center_pitch"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN p_size END AS a, CASE WHEN p_size % 4 <> 0 THEN (p_partkey % 50)::INTEGER END AS b,
+    CASE WHEN p_size % 2 = 0 THEN p_name WHEN p_size % 3 = 0 THEN p_brand ELSE 'panorama' END || '.tif' AS name FROM part"""
+)
+def viewer_texts(spark, sf_dir):
+    size = F.col("p_size")
+    text = F.when(size % 4 == 0, F.concat(F.col("p_name"), F.lit(",1"))).otherwise(F.concat(size.cast("string"), F.lit(" , "), (F.col("p_partkey") % 50).cast("string")))
+    pair = screen.pair_of(text)
+    path = F.when(size % 2 == 0, F.concat(F.lit("/home/a.b/"), F.col("p_name"), F.lit(".json")))
+    name = screen.output_name(path, F.when(size % 3 == 0, F.col("p_brand")).otherwise(""), F.lit("tif"))
+    return load(spark, sf_dir, "part").select("p_partkey", pair["a"].alias("a"), pair["b"].alias("b"), name.alias("name"))
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, value / 50 - 5 AS r, value * 3 - 500 AS d, value / 3 - 90 AS pitch, event_id % 200 - 100 AS dx, event_id % 160 - 80 AS dy FROM events), w AS (SELECT *, d - dx * 0.25 AS turned FROM e)
+    SELECT event_id, round(atan2(sin(r), cos(r)), 6) + 0.0 AS wrapped, round(d + 180 - 360 * floor((d + 180) / 360) - 180, 6) + 0.0 AS degrees,
+    round(turned + 180 - 360 * floor((turned + 180) / 360) - 180, 6) + 0.0 AS yaw, round(least(greatest(pitch - dy * 0.25, -90), 90), 6) + 0.0 AS pitch FROM w"""
+)
+def view_angles(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    v, d = F.col("value"), F.col("value") * 3 - 500
+    yaw, pitch = geometry.drag(d, v / 3 - 90, F.col("event_id") % 200 - 100, F.col("event_id") % 160 - 80, 0.25)
+    return e.select("event_id", rounded(geometry.wrap_angle(v / 50 - 5), "wrapped"), rounded(geometry.wrap180(d), "degrees"), rounded(yaw, "yaw"), rounded(pitch, "pitch"))
+
+
+_KINDS = ("equirect", "cylindrical", "mercator", "rectilinear", "stereographic", "fisheye")
+
+
+@query(
+    f"""WITH x AS (SELECT kind, hfov::DOUBLE AS hfov, 700.0::DOUBLE AS f, radians(hfov) / 2 AS half FROM (SELECT unnest({list(_KINDS)}) AS kind), (SELECT unnest([20, 65, 100, 200, 330, 360]) AS hfov)),
+    s AS (SELECT *, round_even(CASE kind WHEN 'rectilinear' THEN 2 * f * tan(least(half, radians(70))) WHEN 'stereographic' THEN 4 * f * tan(least(half, radians(179)) / 2) ELSE 2 * f * half END, 0) AS w FROM x)
+    SELECT kind, hfov, w::BIGINT AS width, greatest(2, round_even(CASE kind WHEN 'equirect' THEN w * 180 / hfov WHEN 'fisheye' THEN w ELSE 4 * w END, 0))::BIGINT AS height,
+    round(CASE kind WHEN 'cylindrical' THEN f * tan(radians(75)) WHEN 'mercator' THEN f * ln(tan(radians(80) / 2 + {pi} / 4)) WHEN 'rectilinear' THEN f * tan(radians(70)) WHEN 'stereographic' THEN 2 * f * tan(radians(80)) END, 3) AS cut,
+    hfov >= 358 AND kind IN ('equirect', 'cylindrical', 'mercator') AS wraps,
+    round(CASE WHEN kind = 'rectilinear' THEN degrees(tan(least(half, radians(70))) / (w / 2)) ELSE hfov / w END, 6) AS per_pixel FROM s"""
+)
+def canvas_sizes(spark, sf_dir):
+    rows = []
+    for kind in _KINDS:
+        for hfov in (20.0, 65.0, 100.0, 200.0, 330.0, 360.0):
+            w, h = layout.full_size(kind, hfov, 700.0)
+            lay, cut = Layout(kind, w, h, hfov, w=w, h=h), layout.vertical_limit(kind, 700.0)
+            rows.append((kind, hfov, w, h, None if cut is None else round(cut, 3), layout.canvas_wraps(lay), round(geometry.degrees_per_pixel(lay), 6)))
+    return spark.createDataFrame(rows, "kind string, hfov double, width long, height long, cut double, wraps boolean, per_pixel double")
+
+
+@query(
+    f"""WITH x AS (SELECT unnest({list(_KINDS)}) AS kind), y AS (SELECT kind, percent, most FROM x, (SELECT unnest([37, 100, 250]) AS percent), (SELECT unnest([0, 900]) AS most)),
+    s AS (SELECT *, round_even(CASE kind WHEN 'rectilinear' THEN 1400 * tan(radians(50)) WHEN 'stereographic' THEN 2800 * tan(radians(25)) ELSE 700 * radians(100) END, 0) AS w,
+        round_even(CASE kind WHEN 'rectilinear' THEN 1400 * tan(radians(30)) WHEN 'cylindrical' THEN 1400 * tan(radians(30)) WHEN 'mercator' THEN 1400 * ln(tan(radians(15) + {pi} / 4)) WHEN 'stereographic' THEN 2800 * tan(radians(15)) ELSE 700 * radians(60) END, 0) AS h FROM y),
+    b AS (SELECT *, round_even(700 * radians(100), 0) AS ew FROM s), c AS (SELECT *, ew * round_even(ew * 1.8, 0) AS most_area FROM b),
+    d AS (SELECT *, CASE WHEN kind IN ('rectilinear', 'stereographic') AND w * h > most_area THEN sqrt(most_area / (w * h)) ELSE 1 END AS k FROM c),
+    e AS (SELECT *, CASE WHEN k < 1 THEN round_even(w * k, 0) ELSE w END AS w1, CASE WHEN k < 1 THEN round_even(h * k, 0) ELSE h END AS h1 FROM d),
+    f AS (SELECT *, CASE WHEN most > 0 THEN least(percent / 100.0::DOUBLE, most / greatest(w1, h1)) ELSE percent / 100.0::DOUBLE END AS z FROM e)
+    SELECT kind, percent, most, CASE WHEN abs(z - 1) <= 1e-9 THEN w1 ELSE round_even(w1 * z, 0) END::BIGINT AS width, CASE WHEN abs(z - 1) <= 1e-9 THEN h1 ELSE round_even(h1 * z, 0) END::BIGINT AS height FROM f"""
+)
+def finished_sizes(spark, sf_dir):
+    rows = []
+    for kind in _KINDS:
+        for percent in (37, 100, 250):
+            for most in (0, 900):
+                lay = layout.finished(layout.fixed_layout(kind, 100.0, 60.0, 700.0, (0.0, 0.0, 0.0)), 700.0, most, percent)
+                rows.append((kind, percent, most, lay.w, lay.h))
+    return spark.createDataFrame(rows, "kind string, percent int, most int, width long, height long")
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
@@ -469,6 +653,31 @@ def light_functions(spark, sf_dir):
     return p.select("p_partkey", rounded("fall", "falloff"), photometric.devignetted(F.col("v"), F.col("fall")).alias("fixed"), photometric.gained(F.col("v"), F.lit(1.21), 0.5).alias("gained"))
 
 
+@query(
+    f"""WITH v AS (SELECT range AS value, range / 255.0 AS x FROM range(256)), l AS (SELECT value, {_SRGB.format(x="x")} AS light FROM v), e AS (SELECT value, least(greatest(light - 0.01, 0) * 1.3, 1) AS toned FROM l)
+    SELECT value::INTEGER AS value, floor(({_LINEAR.format(x="toned")}) * 255 + 1e-9)::INTEGER AS toned FROM e"""
+)
+def tone_multiplied(spark, sf_dir):
+    return photometric.tone_table(spark, 1.3, 0.01, parity=True)
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, p_retailprice - floor(p_retailprice / 256) * 256 AS b, p_size * 5.0::DOUBLE AS g, (p_partkey % 256)::DOUBLE AS r, p_size * 80.0::DOUBLE AS x, (p_partkey % 3000)::DOUBLE AS y,
+        (p_size - 25) / 100.0::DOUBLE AS a, CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE 0.02 END AS k FROM part), l AS (SELECT *, (0.0722 * b + 0.7152 * g + 0.2126 * r) / 255 AS v FROM p), m AS (SELECT *, {_SRGB.format(x="v")} AS light FROM (SELECT * REPLACE (least(v, 1) AS v) FROM l))
+    SELECT p_partkey, round(light, 6) AS light, light > 0.04 AND light < 0.92 AS usable, round(((x - 2000) * (x - 2000) + (y - 1500) * (y - 1500)) / (1500.0 * 1500.0), 6) AS r2, round(1 + a + k, 6) AS corner,
+    abs(a) + abs(k) > 1e-6 AS active, round(ln(1 + exp(a * 40)) * 0.02, 6) AS flare FROM m"""
+)
+def light_parts(spark, sf_dir):
+    price, size, key = F.col("p_retailprice"), F.col("p_size"), F.col("p_partkey")
+    p = load(spark, sf_dir, "part").select("p_partkey", (price - F.floor(price / 256) * 256).alias("b"), (size * 5.0).alias("g"), (key % 256).cast("double").alias("r"), (size * 80.0).alias("x"),
+        (key % 3000).cast("double").alias("y"), ((size - 25) / 100).alias("a"), F.when(size % 5 == 0, 0.0).otherwise(0.02).alias("k"))
+    light = photometric.luminance(F.col("b"), F.col("g"), F.col("r"))
+    return p.select(
+        "p_partkey", rounded(light, "light"), photometric.usable_light(light).alias("usable"), rounded(photometric.radius2(F.col("x"), F.col("y"), F.lit(4000), F.lit(3000)), "r2"),
+        rounded(photometric.corner_falloff("a", "k", F.lit(0.0)), "corner"), photometric.vignetting_active("a", "k", F.lit(0.0)).alias("active"), rounded(photometric.softplus_flare(F.col("a") * 40), "flare"),
+    )
+
+
 _CENTS = "px AS (SELECT (l_suppkey % 10)::INTEGER AS image_id, l_partkey AS x, l_linenumber AS y, (sum(round(l_extendedprice * 100)::BIGINT) % 256)::BIGINT AS b FROM lineitem GROUP BY 1, 2, 3)"
 
 

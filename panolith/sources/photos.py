@@ -223,9 +223,22 @@ def normalised(img: np.ndarray) -> np.ndarray:
 
 
 def decoded(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, width, height, bgr) of PNG, JPEG, TIFF and BMP photos, not yet turned."""
-    img = spark.read.format("image").option("dropInvalid", True).load(list(paths)).select("image.*")
-    return img.where("nChannels = 3").select(F.col("origin").alias("path"), "width", "height", F.col("data").alias("bgr"))
+    """(path, width, height, bgr, failed) of PNG, JPEG, TIFF and BMP photos, not yet turned.
+
+    Gray is repeated and alpha dropped. A file that can't be decoded keeps its row, with failed
+    true and nulls.
+    """
+    img = spark.read.format("image").option("dropInvalid", False).load(list(paths)).select("image.*")
+
+    @pandas_udf("binary")
+    def bgr(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
+        rows = zip(data, height, width, channels, strict=True)
+        return pd.Series([normalised(np.frombuffer(d, np.uint8).reshape(h, w, n)).tobytes() if n in (1, 3, 4) else None for d, h, w, n in rows])
+
+    out = img.withColumn("bgr", bgr("data", "height", "width", "nChannels"))
+    failed = F.col("bgr").isNull()
+    shown = lambda c: F.when(~failed, F.col(c)).alias(c)
+    return out.select(F.col("origin").alias("path"), shown("width"), shown("height"), "bgr", failed.alias("failed"))
 
 
 def proxies(photos: DataFrame, longest: int = 1600) -> DataFrame:
@@ -245,7 +258,21 @@ def proxies(photos: DataFrame, longest: int = 1600) -> DataFrame:
                 small = np.rint(resized(img, pw, ph)).astype(np.uint8) if scale < 1 else img
                 yield pd.DataFrame({"path": [path], "width": [w], "height": [h], "proxy_width": [pw], "proxy_height": [ph], "proxy": [small.tobytes()]})
 
-    return photos.select("path", "orientation", "width", "height", "bgr").mapInPandas(run, schema)
+    return photos.where("bgr IS NOT NULL").select("path", "orientation", "width", "height", "bgr").mapInPandas(run, schema)
+
+
+def thumbs(photos: DataFrame, longest: int = 360) -> DataFrame:
+    """(path, thumb_width, thumb_height, thumb): the proxies of `proxies` made smaller still, raw BGR bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, w, h, bgr in batch.itertuples(index=False):
+                scale = min(1.0, longest / max(w, h))
+                tw, th = max(1, round(w * scale)), max(1, round(h * scale))
+                small = np.rint(resized(np.frombuffer(bgr, np.uint8).reshape(h, w, 3), tw, th)).astype(np.uint8)
+                yield pd.DataFrame({"path": [path], "thumb_width": [tw], "thumb_height": [th], "thumb": [small.tobytes()]})
+
+    return photos.select("path", "proxy_width", "proxy_height", "proxy").mapInPandas(run, "path string, thumb_width int, thumb_height int, thumb binary")
 
 
 def synthetic_scene(seed: int = 1, width: int = 4000, height: int = 2000) -> np.ndarray:

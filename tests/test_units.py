@@ -229,3 +229,42 @@ def test_written_tables_go(spark):
     session.discard(b)
     with pytest.raises(Exception, match="(?i)path|file"):
         spark.read.parquet(b._panolith_folder)
+
+
+def test_lenses_within_half_a_degree(spark):
+    """Against a plain walk over the photos in the order of their ids."""
+    r = np.random.default_rng(7)
+    rows = [(int(i), int(r.choice([600, 800])), 400, r.choice(["A", "B", None]), float(r.choice([10.0, 10.04, 35.0, np.nan])), float(r.uniform(40, 60))) for i in range(300)]
+    df = spark.createDataFrame([(*x[:4], None if x[4] != x[4] else x[4], x[5]) for x in rows], "image_id long, width int, height int, lens string, focal double, fov_hint double")
+    first, want = [], {}
+    for i, w, h, name, focal, fov in rows:
+        mark = (name, round(0.0 if focal != focal else focal, 1))
+        mine = next((k for k, size, m, f in first if size == (w, h) and (m == mark or abs(f - fov) < 0.5)), None)
+        if mine is None:
+            first.append((i, (w, h), mark, fov))
+            mine = i
+        want[i] = mine
+    got = {x.image_id: x.lens_id for x in images.match_lenses(df).collect()}
+    assert got == want and 2 < len(first) < 100
+
+
+def test_photos_of_any_depth_are_read(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(name, kind, row):
+        chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+        head = struct.pack(">IIBBBBB", 2, 1, 8, kind, 0, 0, 0)
+        (tmp_path / name).write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"\0" + row)) + chunk(b"IEND", b""))
+
+    png("rgb.png", 2, bytes([1, 2, 3, 4, 5, 6]))
+    png("gray.png", 0, bytes([9, 200]))
+    png("alpha.png", 6, bytes([1, 2, 3, 255, 4, 5, 6, 255]))
+    (tmp_path / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nnothing")
+    got = {x.path.rsplit("/", 1)[1]: x for x in photos.decoded(spark, str(tmp_path)).collect()}
+    assert sorted(got) == ["alpha.png", "broken.png", "gray.png", "rgb.png"]
+    assert [k for k, x in got.items() if x.failed] == ["broken.png"]
+    assert bytes(got["rgb.png"].bgr) == bytes([3, 2, 1, 6, 5, 4]) and bytes(got["alpha.png"].bgr) == bytes([3, 2, 1, 6, 5, 4])
+    assert bytes(got["gray.png"].bgr) == bytes([9, 9, 9, 200, 200, 200])
+    small = photos.thumbs(photos.proxies(photos.decoded(spark, str(tmp_path)).withColumn("orientation", F.lit(1))), 1).collect()
+    assert len(small) == 3 and all((x.thumb_width, x.thumb_height, len(x.thumb)) == (1, 1, 3) for x in small)
