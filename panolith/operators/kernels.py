@@ -30,6 +30,41 @@ def sampled(img: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (img[y0, x0] * (1 - fx) + img[y0, x1] * fx) * (1 - fy) + (img[y1, x0] * (1 - fx) + img[y1, x1] * fx) * fy
 
 
+def _cubic(t: np.ndarray) -> np.ndarray:
+    """Weights of the pixels at -1, 0, 1, 2 for a place t after pixel 0; the cubic convolution with slope -0.75."""
+    a, d = -0.75, np.abs(np.stack([t + 1, t, 1 - t, 2 - t], axis=-1))
+    return np.where(d <= 1, ((a + 2) * d - (a + 3)) * d * d + 1, ((a * d - 5 * a) * d + 8 * a) * d - 4 * a)
+
+
+def _lanczos(t: np.ndarray) -> np.ndarray:
+    """Weights of the eight pixels around a place t after pixel 0, adding up to 1."""
+    w = np.sinc(t[..., None] - np.arange(-3, 5)) * np.sinc((t[..., None] - np.arange(-3, 5)) / 4)
+    return w / w.sum(axis=-1, keepdims=True)
+
+
+#: Weights by name of the interpolation, and the first pixel that they are for.
+TAPS = {"cubic": (_cubic, -1), "lanczos": (_lanczos, -3)}
+
+
+def interpolated(img: np.ndarray, x: np.ndarray, y: np.ndarray, kind: str = "linear") -> np.ndarray:
+    """Values at (x, y) by nearest, linear, cubic or lanczos interpolation; places outside read the border."""
+    h, w = img.shape[:2]
+    if kind == "nearest":
+        return img[np.clip(np.rint(y), 0, h - 1).astype(int), np.clip(np.rint(x), 0, w - 1).astype(int)].astype(float)
+    if kind not in TAPS:
+        return sampled(img, x, y)
+    weights, first = TAPS[kind]
+    x, y = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    wx, wy = weights(x - x0), weights(y - y0)
+    out = 0.0
+    for j in range(wy.shape[-1]):
+        row = np.clip(y0 + first + j, 0, h - 1)
+        line = sum(img[row, np.clip(x0 + first + i, 0, w - 1)] * wx[..., i, None] for i in range(wx.shape[-1]))
+        out = out + line * wy[..., j, None]
+    return np.clip(out, 0, 255)
+
+
 def blurred(img: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian blur with repeated borders."""
     if sigma <= 0:

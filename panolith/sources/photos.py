@@ -228,7 +228,7 @@ def decoded(spark: SparkSession, *paths: str) -> DataFrame:
     Gray is repeated and alpha dropped. A file that can't be decoded keeps its row, with failed
     true and nulls.
     """
-    img = spark.read.format("image").option("dropInvalid", False).load(list(paths)).select("image.*")
+    img = spark.read.format("image").option("dropInvalid", False).load(list(paths)).select("image.*").where(is_supported(F.col("origin")))
 
     @pandas_udf("binary")
     def bgr(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
