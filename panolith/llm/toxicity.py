@@ -122,7 +122,7 @@ def train_toxicity(
     sample = (
         docs.where(F.col(text).isNotNull())
         .select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-        .join(least, "__id")
+        .join(F.broadcast(least), "__id")  # at most train_rows ids
         .groupBy("__h", "__id", "__y")
         .agg(F.min("__text").alias("__text"))
         .select("__h", "__y", "__text")
