@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panolith.operators.order import quantile
+
 SIGMA_N, SIGMA_G = 5 / 255, 0.12
 
 
@@ -65,6 +67,6 @@ def gains_to_ev(gains: DataFrame, columns=("b", "g", "r")) -> DataFrame:
 
 def over_median(values: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """`values` with the column divided by its median (1 if that is 0)."""
-    middle = values.groupBy(*(by or [])).agg(F.expr(f"percentile({column}, 0.5)").alias("__m"))
+    middle = quantile(values, column, 0.5, by or [], "__m").drop("n")
     both = values.join(middle, by) if by else values.join(F.broadcast(middle))
     return both.withColumn(column, F.col(column) / F.when(F.col("__m") == 0, 1.0).otherwise(F.col("__m"))).drop("__m")

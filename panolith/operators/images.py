@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import floor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panolith.functions.geometry import scaled_fov_hint
 from panolith.functions.tags import is_supported
-from panolith.operators.order import numbered
+from panolith.operators.order import numbered, quantile
 
 
 def active_ids(images: DataFrame) -> DataFrame:
@@ -123,17 +124,25 @@ def match_lenses(images: DataFrame, tolerance: float = 0.5) -> DataFrame:
     schema = "image_id long, lens_id long"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first: dict[tuple, list[tuple]] = {}
+        # Lenses by mark, and by steps of the angle of view: near ones are in the same step or the next.
+        marked: dict[tuple, tuple[int, int]] = {}
+        angled: dict[tuple, list[tuple[int, int, float]]] = {}
+        n = 0
         for batch in batches:
             out = []
             for i, w, h, name, focal, fov in batch.itertuples(index=False):
                 focal = 0.0 if focal is None or focal != focal else float(focal)
-                mark = (None if name is None or name != name else name, round(focal, 1))
-                lenses = first.setdefault((w, h), [])
-                mine = next((lens for lens, m, f in lenses if m == mark or abs(f - fov) < tolerance), None)
-                if mine is None:
-                    mine = i
-                    lenses.append((i, mark, fov))
+                mark = (w, h, None if name is None or name != name else name, round(focal, 1))
+                step = None if fov is None or fov != fov or tolerance <= 0 else floor(fov / tolerance)
+                alike = [marked[mark]] if mark in marked else []
+                if step is not None:
+                    alike += [(k, lens) for s in (step - 1, step, step + 1) for k, lens, f in angled.get((w, h, s), ()) if abs(f - fov) < tolerance]
+                mine = min(alike)[1] if alike else i
+                if not alike:
+                    marked[mark] = (n, i)
+                    if step is not None:
+                        angled.setdefault((w, h, step), []).append((n, i, fov))
+                    n += 1
                 out.append((i, mine))
             yield pd.DataFrame(out, columns=["image_id", "lens_id"])
 
@@ -144,7 +153,7 @@ def match_lenses(images: DataFrame, tolerance: float = 0.5) -> DataFrame:
 
 def refreshed_fov(lenses: DataFrame, params: DataFrame, fixed: DataFrame) -> DataFrame:
     """`lenses` with the median hint of the photos (image_id, fov_hint) that got tags again."""
-    hints = params.join(fixed, "image_id").groupBy("lens_id").agg(F.expr("percentile(fov_hint, 0.5)").alias("__fov"))
+    hints = quantile(params.join(fixed, "image_id"), "fov_hint", 0.5, ["lens_id"], "__fov").select("lens_id", "__fov")
     return lenses.join(hints, "lens_id", "left").withColumn("fov", F.coalesce("__fov", "fov")).drop("__fov")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 
@@ -192,21 +194,96 @@ def filled(img: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return coarse
 
 
-def low_frequency_fields(images: list[np.ndarray], masks: list[np.ndarray], strength: float = 1.0, limit: float = 1.9) -> list[np.ndarray]:
-    """A smooth gain for each raster that brings it near the mean of all where they overlap."""
-    weights = [m.astype(float) for m in masks]
-    total = sum(weights)
-    mean = sum(i.astype(float) * w[..., None] for i, w in zip(images, weights, strict=True)) / np.maximum(total, 1e-3)[..., None]
-    sigma, out = max(2.0, 0.16 * max(masks[0].shape)), []
-    for img, w in zip(images, weights, strict=True):
-        shared = w * (total > 1.2)
-        if shared.sum() < 32:
-            out.append(np.ones(img.shape))
+@dataclass(frozen=True)
+class Patch:
+    """A part of a canvas, from (x, y) on, that a photo covers."""
+
+    x: int
+    y: int
+    img: np.ndarray
+    mask: np.ndarray
+
+    @property
+    def box(self) -> tuple[slice, slice]:
+        return np.s_[self.y : self.y + self.mask.shape[0], self.x : self.x + self.mask.shape[1]]
+
+
+def smooth_gains(patches: list[Patch], shape: tuple[int, int], strength: float, wrap: bool = False, most: int = 128, limit: float = 1.9) -> list[np.ndarray]:
+    """A gain for each patch, on a coarse copy of the whole canvas, that brings it near the mean of all where they overlap.
+
+    Only what changes slowly is wanted, so the canvas is cut into at most `most` cells a side: sums per
+    cell of a patch and of all patches give its ratio to the mean where others lie too, and a
+    blur of a sixth of the canvas takes the ratio everywhere. A canvas that wraps is blurred around.
+    """
+    step = max(1, -(-max(shape) // most))
+    size = (-(-shape[0] // step), -(-shape[1] // step))
+
+    def cells(p: Patch) -> tuple[np.ndarray, np.ndarray]:
+        ys, xs = np.nonzero(p.mask)
+        at = (ys + p.y) // step * size[1] + (xs + p.x) // step
+        n = np.bincount(at, minlength=size[0] * size[1])
+        sums = [np.bincount(at, weights=p.img[ys, xs, c], minlength=len(n)) for c in range(3)]
+        return n.reshape(size) / step**2, np.stack(sums, axis=-1).reshape(*size, 3) / step**2
+
+    parts = [cells(p) for p in patches]
+    weight, light = sum(n for n, _ in parts), sum(v for _, v in parts)
+    mean, sigma = light / np.maximum(weight, 1e-6)[..., None], max(1.0, 0.16 * max(size))
+
+    def soft(v: np.ndarray) -> np.ndarray:
+        around = np.concatenate([v, v, v], axis=1) if wrap else v
+        out = blurred(around, sigma)
+        return out[:, v.shape[1] : 2 * v.shape[1]] if wrap else out
+
+    fields = []
+    for n, v in parts:
+        shared = n * (weight > 1.2 * np.maximum(n, 1e-6)) * (n > 0.75)
+        if shared.sum() * step**2 < 32:
+            fields.append(np.ones((*size, 3), np.float32))
             continue
-        ratio = np.clip(mean / np.maximum(img.astype(float), 1.0), 1 / limit, limit)
-        smooth = blurred(ratio * shared[..., None], sigma) / np.maximum(blurred(shared, sigma), 1e-6)[..., None]
-        out.append(1 + strength * (smooth - 1))
-    return out
+        ratio = np.clip(mean / np.maximum(v / np.maximum(n, 1e-6)[..., None], 1.0), 1 / limit, limit)
+        smooth = soft(ratio * shared[..., None]) / np.maximum(soft(shared), 1e-6)[..., None]
+        fields.append(np.clip(1 + strength * (smooth - 1), 1 / limit, limit).astype(np.float32))
+    return fields
+
+
+def owners(patches: list[Patch], shape: tuple[int, int], seams: bool, wrap: bool = False) -> list[np.ndarray]:
+    """The part of each patch's box that its photo owns: where it is deepest, borders moved to where photos differ least.
+
+    Depths and pairs are looked at in the patches' boxes; of the canvas only two rasters are kept.
+    """
+    deepest, owner = np.zeros(shape), np.full(shape, -1, dtype=np.int32)
+    for k, p in enumerate(patches):
+        d = depth(p.mask, wrap and p.mask.shape[1] == shape[1])
+        more = d > deepest[p.box]
+        deepest[p.box][more], owner[p.box][more] = d[more], k
+    parts = [owner[p.box] == k for k, p in enumerate(patches)]
+    if seams:
+        middle = [np.argwhere(p.mask).mean(axis=0) + (p.y, p.x) for p in patches]
+        for i, a in enumerate(patches):
+            for j in range(i + 1, len(patches)):
+                b = patches[j]
+                x0, y0 = max(a.x, b.x), max(a.y, b.y)
+                x1, y1 = (min(a.x + a.mask.shape[1], b.x + b.mask.shape[1]), min(a.y + a.mask.shape[0], b.y + b.mask.shape[0]))
+                if x0 >= x1 or y0 >= y1:
+                    continue
+                box = [np.s_[y0 - p.y : y1 - p.y, x0 - p.x : x1 - p.x] for p in (a, b)]
+                both = a.mask[box[0]] & b.mask[box[1]] & (parts[i][box[0]] | parts[j][box[1]])
+                if both.sum() < 64:
+                    continue
+                ys, xs = np.nonzero(both)
+                inner = np.s_[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]
+                upright = abs(middle[i][1] - middle[j][1]) >= abs(middle[i][0] - middle[j][0])
+                first = seam(a.img[box[0]][inner], b.img[box[1]][inner], both[inner], upright)
+                swap = (middle[i][1] > middle[j][1]) if upright else (middle[i][0] > middle[j][0])
+                mine = both[inner] & (~first if swap else first)
+                for k, box_, own in ((i, box[0], mine), (j, box[1], both[inner] & ~mine)):
+                    part = parts[k][box_][inner]
+                    part[:] = np.where(both[inner], own, part)
+    seen = np.zeros(shape, bool)
+    for p, part in zip(patches, parts, strict=True):
+        part &= ~seen[p.box]
+        seen[p.box] |= part
+    return parts
 
 
 def ncc_best(patch: np.ndarray, area: np.ndarray) -> tuple[int, int, float]:

@@ -21,3 +21,26 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     placed = dealt.withColumn("__inside", inside).join(F.broadcast(starts), "__range")
     return placed.withColumn(name, (F.col("__start") + F.col("__inside") - 1).cast("long")).drop("__range", "__inside", "__start")
+
+
+def quantile(df: DataFrame, value: str, share: float, by: list[str], name: str) -> DataFrame:
+    """(by..., name, n): the exact quantile of a column, read between two values, and the number of values; nulls don't count.
+
+    Values fall into 4096 equal parts of their group's range. Counts tell which parts hold the two values
+    around the quantile, and only the rows of those are put in order, so no task holds a group.
+    """
+    parts, keys = 4096, by or ["__all"]
+    rows = df.where(F.col(value).isNotNull()).withColumn("__all", F.lit(0)).select(*keys, F.col(value).cast("double").alias("__v"))
+    ends = rows.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count(F.lit(1)).alias("n"))
+    place = F.least(F.floor((F.col("__v") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0)) * parts), F.lit(parts - 1))
+    dealt = rows.join(ends, keys).withColumn("__part", F.coalesce(place, F.lit(0)))
+    counted = dealt.groupBy(*keys, "__part", "n").agg(F.count(F.lit(1)).alias("__m"))
+    upto = F.sum("__m").over(Window.partitionBy(*keys).orderBy("__part"))
+    at = share * (F.col("n") - 1)
+    held = counted.withColumn("__upto", upto).withColumn("__before", F.col("__upto") - F.col("__m")).where((F.col("__before") <= F.ceil(at)) & (F.col("__upto") > F.floor(at)))
+    offset = held.groupBy(*keys).agg(F.min("__before").alias("__offset"))
+    few = dealt.join(held.select(*keys, "__part"), [*keys, "__part"]).join(offset, keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__v")) - 1 + F.col("__offset")
+    few = few.withColumn("__rank", rank).where((F.col("__rank") == F.floor(at)) | (F.col("__rank") == F.ceil(at)))
+    low, high = F.min("__v"), F.max("__v")
+    return few.groupBy(*keys, "n").agg((low + (high - low) * (F.max(at) - F.floor(F.max(at)))).alias(name)).select(*by, name, "n")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panolith.operators.order import quantile
 from panolith.schema import Layout
 
 TILE, MARGIN = 1536, 192
@@ -124,5 +125,5 @@ def source_scale(points: DataFrame, by: list[str]) -> DataFrame:
     )
     steps = points.select(*by, step("gy", "gx").alias("across"), step("gx", "gy").alias("down"))
     steps = steps.select(*by, F.explode(F.array("across", "down")).alias("d")).where("d is not null")
-    low = steps.groupBy(*by).agg(F.expr("percentile(d, 0.02)").alias("p"), F.count(F.lit(1)).alias("n"))
+    low = quantile(steps, "d", 0.02, by, "p")
     return low.select(*by, F.when((F.col("n") < 8) | (F.col("p") <= 0), F.lit(1.0)).otherwise(F.least(F.greatest(1.4 / F.col("p"), F.lit(0.02)), F.lit(1.0))).alias("scale"))

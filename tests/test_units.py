@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panolith import session
-from panolith.operators import canvas, gains, graph, images, kernels, layout, match, points, tiles
+from panolith.operators import canvas, gains, graph, images, kernels, layout, match, order, points, tiles
 from panolith.schema import Layout, Settings
 from panolith.sources import photos
 
@@ -268,3 +268,49 @@ def test_photos_of_any_depth_are_read(spark, tmp_path):
     assert bytes(got["gray.png"].bgr) == bytes([9, 9, 9, 200, 200, 200])
     small = photos.thumbs(photos.proxies(photos.decoded(spark, str(tmp_path)).withColumn("orientation", F.lit(1))), 1).collect()
     assert len(small) == 3 and all((x.thumb_width, x.thumb_height, len(x.thumb)) == (1, 1, 3) for x in small)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.5, 0.77, 1.0])
+def test_quantiles(spark, share):
+    r = np.random.default_rng(8)
+    groups = {0: r.normal(size=997), 1: np.repeat([1.0, 2.0, 3.0], 50), 2: np.array([4.5]), 3: np.r_[r.exponential(size=500), 1e9]}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [(0, None), (4, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {x.g: (x.q, x.n) for x in order.quantile(df, "v", share, ["g"], "q").collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for g, values in groups.items():
+        assert got[g][0] == pytest.approx(float(np.quantile(values, share)), rel=1e-12) and got[g][1] == len(values)
+    whole = np.concatenate(list(groups.values()))
+    assert order.quantile(df, "v", share, [], "q").first().q == pytest.approx(float(np.quantile(whole, share)), rel=1e-12)
+
+
+def test_smooth_gains_even_out_a_slope():
+    """Two overlapping photos of one gray, one with a slope of light: gains bring both near their mean."""
+    h, w = 120, 400
+    slope = np.linspace(0.8, 1.2, 260)[None, :, None] * np.full((h, 1, 3), 120.0)
+    a = kernels.Patch(0, 0, np.full((h, 240, 3), 120.0), np.ones((h, 240), bool))
+    b = kernels.Patch(140, 0, slope, np.ones((h, 260), bool))
+    fields = kernels.smooth_gains([a, b], (h, w), 1.0)
+    before = abs(a.img[:, 140:].mean() - b.img[:, :100].mean())
+    grown = [kernels.resized(f, w, h) for f in fields]
+    after = abs((a.img * grown[0][a.box])[:, 140:].mean() - (b.img * grown[1][b.box])[:, :100].mean())
+    assert after < 0.35 * before and all(0.5 < f.min() and f.max() < 1.95 for f in fields)
+    assert all((f == 1).all() for f in kernels.smooth_gains([a], (h, w), 1.0))
+
+
+@pytest.mark.parametrize("seams", [False, True])
+def test_owners_share_out_what_is_covered(seams):
+    r = np.random.default_rng(9)
+    patches = []
+    for _ in range(6):
+        x, y, w, h = (int(v) for v in r.integers([0, 0, 20, 20], [60, 40, 60, 50]))
+        patches.append(kernels.Patch(x, y, r.integers(0, 255, (h, w, 3)).astype(np.uint8), r.random((h, w)) < 0.95))
+    shape = (100, 130)
+    parts, total = kernels.owners(patches, shape, seams), np.zeros(shape, int)
+    for p, part in zip(patches, parts):
+        assert not (part & ~p.mask).any()
+        total[p.box] += part
+    covered = np.zeros(shape, bool)
+    for p in patches:
+        covered[p.box] |= p.mask
+    assert total.max() == 1 and (total[covered] == 1).mean() > 0.9
