@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,18 +66,27 @@ def ftrl(rows: list[np.ndarray], marks: list[int], width: int, alpha: float, bet
     return weights(np.arange(width + 1))
 
 
-def called_for(rows: list[np.ndarray], width: int, l1: float, epochs: int) -> list[np.ndarray]:
-    """The rows without features that are too rare to get a weight.
+def called_for(parts: list[np.ndarray], width: int, l1: float, epochs: int) -> np.ndarray:
+    """Which features are met often enough to get a weight; `parts` are the features of all rows, in any pieces.
 
     While a feature has no weight, each time it is met moves its sum by a gradient, of at most
     1; below L1 it has none, so one met at most L1 times in all epochs changes nothing.
     """
-    times = np.zeros(width + 1, dtype=int)
-    for r in rows:
-        times[r] += 1
+    times = np.zeros(width + 1, dtype=np.int64)
+    for part in parts:
+        for s in range(0, len(part), 1 << 20):
+            times += np.bincount(part[s : s + (1 << 20)], minlength=width + 1)
     keep = times * epochs > l1
     keep[width] = True
-    return [r[keep[r]] for r in rows]
+    return keep
+
+
+def feature_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all features, rows' first places and the end) of a column of int32 bytes, in one copy and no objects."""
+    wide = pa.types.is_large_binary(column.type)
+    _, places, data = column.buffers()
+    at = np.frombuffer(places, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view("<i4").copy(), (at - at[0]) // 4
 
 
 def train_toxicity(
@@ -131,23 +140,33 @@ def train_toxicity(
     def make():
         return lambda texts: [[np.unique(features(t, width)).astype("<i4").tobytes() for t in texts]]
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, marks, n = [], [], 0
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, marks, n = [], [], 0
         for batch in batches:
-            for y, f in zip(batch["__y"], batch["__features"], strict=True):
-                n += len(f) // 4
-                if n <= train_features:
-                    rows.append(np.frombuffer(f, dtype="<i4"))
-                    marks.append(y > 0)
-            if n > train_features:
+            if not batch.num_rows:
+                continue
+            values, edge = feature_lists(batch.column(1))
+            whole = int(np.searchsorted(edge, train_features - n, side="right")) - 1
+            if whole > 0:
+                parts.append((values[: edge[whole]], edge[: whole + 1]))
+                marks += [y > 0 for y in batch.column(0).slice(0, whole).to_pylist()]
+            n += len(values)
+            if n >= train_features:
                 break
-        w = ftrl(called_for(rows, width, l1, epochs), marks, width, alpha, beta, l1, l2, epochs)
+        keep = called_for([v for v, _ in parts], width, l1, epochs)
+        rows: list[np.ndarray] = []
+        while parts:
+            values, edge = parts.pop(0)
+            mask = keep[values]
+            sizes = np.add.reduceat(mask, edge[:-1], dtype=np.int64)  # no row is without the bias
+            rows += np.split(values[mask], np.cumsum(sizes)[:-1])
+        w = ftrl(rows, marks, width, alpha, beta, l1, l2, epochs)
         i = np.flatnonzero(w)
-        yield pd.DataFrame({"i": i, "w": w[i]})
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(w[i], pa.float64())], names=["i", "w"])
 
     hashed = written(map_texts(sample, "__text", "__features binary", make), "toxicity_features")
-    one = hashed.repartition(1).sortWithinPartitions("__h", "__features")
-    got = one.mapInPandas(fit, "i long, w double").collect() if total else []
+    one = hashed.repartition(1).sortWithinPartitions("__h", "__features").select("__y", "__features")
+    got = one.mapInArrow(fit, "i long, w double").collect() if total else []
     discard(hashed)
     discard(least)
     if not total or not got:

@@ -184,7 +184,9 @@ def test_rare_features_change_nothing():
     rows = [np.unique(np.append(r.zipf(1.3, 40) % 500, 500)).astype(np.int32) for _ in range(300)]
     marks = [bool(r.random() < 0.5) if 3 not in x else True for x in rows]
     args = (500, 4.0, 1.0, 5.0, 0.01, 4)
-    few = called_for(rows, 500, 5.0, 4)
+    keep = called_for(rows, 500, 5.0, 4)
+    assert (keep == called_for([np.concatenate(rows)], 500, 5.0, 4)).all()
+    few = [x[keep[x]] for x in rows]
     assert sum(map(len, few)) < sum(map(len, rows))
     whole = ftrl(rows, marks, *args)
     assert np.count_nonzero(whole) > 5 and (ftrl(few, marks, *args) == whole).all()
