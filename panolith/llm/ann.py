@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from panolith.session import written
 
 #: Entries of a bucket, which one task holds, and entries from which a cell is cut.
 BUCKET_ENTRIES, HOT_ENTRIES = 1 << 18, 1 << 16
+#: Rows filed at a time, and queries of a task that looks for their cells.
+FILE_ROWS, PROBE_QUERIES = 2048, 256
 #: Norms of one band differ by less than this factor.
 BAND = 1.25
 #: Rows of each length, and components in all, of the sample that the order of the probes is fitted on.
@@ -128,13 +131,15 @@ class Fit:
         unit, logs, table = unit_rows(queries), log_norms(queries), np.arange(tables)[:, None]
         own = log_norms(self.sample)
         for i in range(len(queries)):
+            if i % 64 == 0:
+                rotated = np.stack([polytope(unit[i : i + 64], t) for t in range(tables)], axis=1)
             # Gains 2 q.v - v.v in units of the query's squared length.
             size = np.exp(np.clip(own - logs[i], -300, 300))
             gain = 2 * (units @ unit[i]) * size - size**2
             least_gain = np.partition(gain, len(gain) - 1 - place)[len(gain) - 1 - place]
             s = np.exp(np.clip(names * np.log(BAND) - logs[i], -300, 300))
             cosine = (least_gain + s**2) / (2 * s)
-            near = np.concatenate([polytope(unit[i : i + 1], t) for t in range(tables)])
+            near = rotated[i % 64]
             axes = best_axes(near, take)
             a, b = axes[:, first], axes[:, second]
             pa, pb = np.take_along_axis(near, a, 1), np.take_along_axis(near, b, 1)
@@ -201,14 +206,30 @@ def parts_of(cells: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return np.where(names[order][at] == cells, parts[order][at], 1)
 
 
-def in_buckets(ids: np.ndarray, at: np.ndarray, cells: np.ndarray, buckets: int) -> pd.DataFrame:
-    """(bucket, at, cells): the cells of each row, in one list for each bucket they fall into."""
+def in_buckets(at: np.ndarray, cells: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(bucket, row, cells): the cells of each row, in one list for each bucket they fall into."""
     bucket = (mixed(cells) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((bucket, at))
     at, bucket, cells = at[order], bucket[order], cells[order].view(np.int64)
     edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (bucket[1:] != bucket[:-1]), True])
-    lists = [cells[a:e] for a, e in zip(edge[:-1], edge[1:], strict=True)]
-    return pd.DataFrame({"bucket": bucket[edge[:-1]], "at": at[edge[:-1]], "id": ids[at[edge[:-1]]], "cells": lists})
+    lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(cells, pa.int64()))
+    return bucket[edge[:-1]], at[edge[:-1]], lists
+
+
+def byte_rows(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    flat = np.ascontiguousarray(rows)
+    places = pa.array(np.arange(len(flat) + 1) * (flat.nbytes // max(1, len(flat))), pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(flat), [None, places.buffers()[1], pa.py_buffer(flat.tobytes())])
+
+
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, vectors) of the rows (id, dim, vec) of a batch."""
+    ids, dims, vectors = (batch.column(i) for i in range(3))
+    known = dims.to_numpy()
+    for dim in np.unique(known).tolist():
+        rows = pa.array(np.flatnonzero(known == dim))
+        yield dim, ids.take(rows).to_numpy(), vectors.take(rows).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
 
 
 def nearest(
@@ -252,37 +273,37 @@ def nearest(
     hot = hot_cells(classes, tables, hot_entries)
     buckets = max(1, -(-classes.count() * tables // bucket_entries))
 
-    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table_of(dim: int, ids: np.ndarray, bucket: np.ndarray, lists: pa.Array, **more: pa.Array) -> pa.RecordBatch:
+        arrays = {"bucket": pa.array(bucket, pa.int64()), "id": pa.array(ids, pa.int64()), "cells": lists, "dim": pa.array(np.full(len(ids), dim), pa.int32()), **more}
+        return pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in batch.groupby("dim"):
-                m, cids = matrix(part["vec"]), part["cid"].to_numpy()
-                codes, step, rest = quantised(m)
-                cells = own_cells(m, tables)
-                parts = parts_of(cells, hot)
-                sub = mixed(cids.astype(np.uint64))[:, None] % parts.astype(np.uint64)
-                cells = np.where(parts > 1, mixed(cells + sub + np.uint64(1)), cells)
-                out = in_buckets(cids, np.repeat(np.arange(len(cids)), tables), cells.ravel(), buckets)
-                at = out.pop("at").to_numpy()
-                yield out.assign(dim=m.shape[1], code=[codes[i].tobytes() for i in at], step=step[at], rest=rest[at])
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for s in range(0, batch.num_rows, FILE_ROWS):
+                for dim, cids, m in by_length(batch.slice(s, FILE_ROWS)):
+                    codes, step, rest = quantised(m)
+                    cells = own_cells(m, tables)
+                    parts = parts_of(cells, hot)
+                    sub = mixed(cids.astype(np.uint64))[:, None] % parts.astype(np.uint64)
+                    cells = np.where(parts > 1, mixed(cells + sub + np.uint64(1)), cells)
+                    bucket, at, lists = in_buckets(np.repeat(np.arange(len(cids)), tables), cells.ravel(), buckets)
+                    yield table_of(dim, cids[at], bucket, lists, code=byte_rows(codes[at]), step=pa.array(step[at]), rest=pa.array(rest[at]))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, part in batch.groupby("dim"):
-                if dim not in fits:
-                    continue
-                m, ids = matrix(part["vec"]), part["query_id"].to_numpy()
-                for i, cells in enumerate(fits[dim].probes(m, tables, share, least_entries, k)):
+            for dim, ids, m in by_length(batch):
+                for i, cells in enumerate(fits[dim].probes(m, tables, share, least_entries, k) if dim in fits else ()):
                     parts = parts_of(cells, hot)
                     sub = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
                     cells, many = np.repeat(cells, parts), np.repeat(parts, parts) > 1
-                    cells = np.where(many, mixed(cells + sub.astype(np.uint64) + np.uint64(1)), cells)
-                    cells = np.unique(cells)
-                    out = in_buckets(ids[i : i + 1], np.zeros(len(cells), dtype=np.int64), cells, buckets)
-                    out.pop("at")
-                    yield out.assign(dim=dim, vec=[m[i]] * len(out))
+                    cells = np.unique(np.where(many, mixed(cells + sub.astype(np.uint64) + np.uint64(1)), cells))
+                    bucket, at, lists = in_buckets(np.zeros(len(cells), dtype=np.int64), cells, buckets)
+                    yield table_of(dim, np.full(len(at), ids[i]), bucket, lists, vec=byte_rows(np.repeat(m[i : i + 1], len(at), axis=0)))
 
-    filed = classes.select("cid", "dim", "vec").mapInPandas(file, "bucket long, id long, cells array<long>, dim int, code binary, step double, rest double")
-    asked = queries.mapInPandas(probe, "bucket long, id long, cells array<long>, dim int, vec array<double>")
+    columns = "bucket long, id long, cells array<long>, dim int"
+    filed = classes.select("cid", "dim", "vec").mapInArrow(file, f"{columns}, code binary, step double, rest double")
+    some = queries.select("query_id", "dim", "vec").repartition(max(1, -(-queries.count() // PROBE_QUERIES)))
+    asked = some.mapInArrow(probe, f"{columns}, vec binary")
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         made = []
@@ -291,7 +312,7 @@ def nearest(
             cells = np.concatenate(right["cells"].to_numpy())
             order = np.argsort(cells, kind="stable")
             cells, row = cells[order], np.repeat(np.arange(len(right)), right["cells"].map(len))[order]
-            for query, q, opened in zip(left["id"], matrix(left["vec"]), left["cells"], strict=True):
+            for query, q, opened in zip(left["id"], np.frombuffer(b"".join(left["vec"])).reshape(-1, key[1]), left["cells"], strict=True):
                 a, e = np.searchsorted(cells, opened, "left"), np.searchsorted(cells, opened, "right")
                 n = e - a
                 at = np.unique(row[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())])
