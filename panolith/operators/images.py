@@ -82,6 +82,20 @@ def register(photos: DataFrame, images: DataFrame) -> DataFrame:
     return rows.select(*images.columns)
 
 
+def starting(images: DataFrame, tolerance: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(poses, lenses) that photos start with: straight on, and a flat lens of the hint of its first photo.
+
+    Photos share lenses as `match_lenses` says. Reads what that reads.
+    """
+    of = match_lenses(images, tolerance)
+    neutral = {n: F.lit(0.0) for n in ("yaw", "pitch", "roll")}
+    poses = of.withColumns({**neutral, "exposure": F.lit(1.0), "white_balance": F.array(*[F.lit(1.0)] * 3)})
+    hints = images.select(F.col("image_id").cast("long").alias("lens_id"), F.col("fov_hint").cast("double").alias("fov"))
+    flat = {n: F.lit(0.0) for n in ("a", "b", "c", "cx", "cy", "shear_x", "shear_y")}
+    lenses = of.select("lens_id").distinct().join(hints, "lens_id").withColumns({"projection": F.lit("rectilinear"), **flat})
+    return poses.select("image_id", "yaw", "pitch", "roll", "lens_id", "exposure", "white_balance"), lenses.select("lens_id", "fov", "projection", *flat)
+
+
 def remove_image(image_id: int, images: DataFrame, params: DataFrame, photometric: DataFrame, points: DataFrame) -> tuple[DataFrame, ...]:
     """The four relations without one photo, its corrections and its points."""
     other = F.col("image_id") != image_id

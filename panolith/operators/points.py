@@ -126,3 +126,10 @@ def stats(images: DataFrame, points: DataFrame) -> DataFrame:
     sizes = groups(images, points).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
     shape = sizes.agg(F.count(F.lit(1)).alias("n_groups"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("n_orphans"))
     return points.agg(F.count(F.lit(1)).alias("total"), F.count_if("enabled").alias("enabled")).join(F.broadcast(shape))
+
+
+def status_line(stats: DataFrame, rms: Column) -> DataFrame:
+    """One row: what a viewer says under the picture, from `stats` and the error of the last solve."""
+    split = F.when(F.col("n_groups") > 1, F.format_string(", split into %d", "n_groups")).otherwise("")
+    alone = F.when(F.col("n_orphans") > 0, F.format_string(", %d unlinked", "n_orphans")).otherwise("")
+    return stats.select(F.concat(F.format_string("%d of %d points, RMS %.2f", "enabled", "total", rms), split, alone).alias("line"))

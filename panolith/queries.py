@@ -296,6 +296,16 @@ def point_stats(spark, sf_dir):
     return points.stats(*order_graph(spark, sf_dir))
 
 
+@query(
+    _GRAPH
+    + """, s AS (SELECT group_id, count(*) AS n FROM g GROUP BY 1), t AS (SELECT count(*) AS n_groups, count(*) FILTER (WHERE n = 1) AS n_orphans FROM s)
+    SELECT (SELECT count(*) FROM pt WHERE enabled) || ' of ' || (SELECT count(*) FROM pt) || ' points, RMS 1.25' || CASE WHEN n_groups > 1 THEN ', split into ' || n_groups ELSE '' END
+        || CASE WHEN n_orphans > 0 THEN ', ' || n_orphans || ' unlinked' ELSE '' END AS line FROM t"""
+)
+def status_line(spark, sf_dir):
+    return points.status_line(points.stats(*order_graph(spark, sf_dir)), F.lit(1.25))
+
+
 @query(_GRAPH + " SELECT id AS node FROM img WHERE id NOT IN (SELECT a FROM e)")
 def orphans(spark, sf_dir):
     photos, pts = order_graph(spark, sf_dir)
@@ -380,6 +390,15 @@ def lens_matching(spark, sf_dir):
     return images.match_lenses(photos(spark, sf_dir), tolerance=0.0)
 
 
+@query(
+    """WITH m AS (SELECT p_partkey AS image_id, min(p_partkey) OVER (PARTITION BY p_size, p_brand, p_partkey % 6) AS lens_id FROM part)
+    SELECT image_id, 0.0::DOUBLE AS yaw, m.lens_id, 1.0::DOUBLE AS exposure, round(p_retailprice, 6) AS fov, 'rectilinear' AS projection FROM m JOIN part ON p_partkey = m.lens_id"""
+)
+def starting_poses(spark, sf_dir):
+    poses, lenses = images.starting(photos(spark, sf_dir), tolerance=0.0)
+    return poses.join(lenses, "lens_id").select("image_id", "yaw", "lens_id", "exposure", rounded("fov", "fov"), "projection")
+
+
 @query("SELECT p_size % 8 AS lens_id, round(median(p_retailprice), 6) AS fov FROM part WHERE p_partkey % 3 = 0 GROUP BY 1")
 def refreshed_fov(spark, sf_dir):
     p = photos(spark, sf_dir)
