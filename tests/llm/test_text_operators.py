@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -222,6 +223,36 @@ def test_ftrl_is_the_method():
     assert np.allclose(got, want, atol=1e-9) and np.count_nonzero(got) > 3
 
 
+def plain_features(text, width):
+    """Hashed words and pairs of words up to three apart, in whole numbers."""
+    cut = [zlib.crc32(w.encode()) for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower(text or "")) if w]
+    hashes = [h * 0x9E3779B97F4A7C15 for h in cut]
+    for gap in (1, 2, 3):
+        hashes += [(a * (0xC2B2AE3D27D4EB4F + 2 * gap) + b) * 0x165667B19E3779F9 for a, b in zip(cut, cut[gap:])]
+    return sorted({(h % 2**64 >> 20) % width for h in hashes} | {width})
+
+
+def test_toxicity_by_brute_force(spark, docs_of, odd_rows):
+    """Training and scores of a small table against plain versions of every step."""
+    r = random.Random(16)
+    words = ["Scum!", "moron", *(f"w{i}" for i in range(40)), "ähnlich", "x-y"]
+    rows = [x for x in odd_rows if x[0] != 5] + [(i, " ".join(r.choice(words) for _ in range(r.randrange(1, 30)))) for i in range(100, 220)]
+    marks = {i: int("Scum" in t) for i, t in rows if i and i >= 100 and i % 3}
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")
+    docs, width, args = docs_of(rows), 1 << 12, (4.0, 1.0, 1.5, 0.01, 5)
+    model = train_toxicity(docs, labels, width=width, **dict(zip(("alpha", "beta", "l1", "l2", "epochs"), args)))
+    order = spark.createDataFrame([(i,) for i in marks], "id long").select("id", F.xxhash64(F.lit(11), "id").alias("h"), (F.crc32(F.col("id").cast("string").cast("binary")) % 5).alias("m")).collect()
+    assert all(x.m == zlib.crc32(str(x.id).encode()) % 5 for x in order)
+    sample = [x.id for x in sorted(order, key=lambda x: x.h) if x.m]
+    texts = dict(rows)
+    w = plain_ftrl([plain_features(texts[i], width) for i in sample], [marks[i] for i in sample], width, *args)
+    assert sum(x != 0 for x in w) > 5
+    got = sorted((repr(x.doc_id), repr(x.text), x.score) for x in score_toxicity(docs, model).collect())
+    want = sorted((repr(i), repr(t), 1 / (1 + math.exp(-sum(w[k] for k in plain_features(t, width))))) for i, t in rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert max(abs(a[2] - b[2]) for a, b in zip(got, want)) < 1e-6
+
+
 def test_the_sample_is_bounded_and_repeatable(spark, docs_of):
     r = random.Random(6)
     rows = [(i, " ".join(r.choice(["scum", "a", "b", "c", "d"]) for _ in range(6))) for i in range(400)]
