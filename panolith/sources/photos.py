@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 
-from panolith.functions.tags import is_supported
+from panolith.functions.tags import cache_key, is_supported
 from panolith.operators.kernels import resized
 from panolith.schema import EXIF
 
@@ -261,6 +262,26 @@ def proxies(photos: DataFrame, longest: int = 1600) -> DataFrame:
     return photos.where("bgr IS NOT NULL").select("path", "orientation", "width", "height", "bgr").mapInPandas(run, schema)
 
 
+def kept_proxies(files: DataFrame, folder: str, longest: int = 1600) -> DataFrame:
+    """The proxies of `files` (those of `photo_files`), from a table in `folder` that is added to where one is missing.
+
+    A file's key is its path, length and time of change, so a changed file gets a new proxy.
+    """
+    spark = files.sparkSession
+    keyed = files.select("path", exif_of("content")["orientation"].alias("orientation"), cache_key(F.col("path"), F.col("length"), F.unix_timestamp("modificationTime"), "proxy").alias("key"))
+    try:
+        known = spark.read.parquet(folder)
+    except AnalysisException:  # the first time
+        known = None
+    missing = keyed if known is None else keyed.join(known.select("key"), "key", "left_anti")
+    paths = [r.path for r in missing.select("path").toLocalIterator()]
+    if paths:
+        read = decoded(spark, *paths).withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+        made = proxies(read.join(missing, "path"), longest)
+        made.join(missing.select("path", "key"), "path").write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).join(keyed.select("key"), "key", "left_semi")
+
+
 def thumbs(photos: DataFrame, longest: int = 360) -> DataFrame:
     """(path, thumb_width, thumb_height, thumb): the proxies of `proxies` made smaller still, raw BGR bytes."""
 

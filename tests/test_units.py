@@ -314,3 +314,19 @@ def test_owners_share_out_what_is_covered(seams):
     for p in patches:
         covered[p.box] |= p.mask
     assert total.max() == 1 and (total[covered] == 1).mean() > 0.9
+
+
+def test_a_patch_is_found_again():
+    r = np.random.default_rng(10)
+    area = r.normal(size=(60, 70))
+    x, y, score = kernels.ncc_best(area[20:41, 30:51] * 3 + 5, area)
+    assert (x, y) == (30, 20) and score == pytest.approx(1.0)
+    assert kernels.ncc_best(r.normal(size=(21, 21)), area)[2] < 0.6
+
+
+def test_holes_take_the_nearest_colour():
+    img, mask = np.zeros((40, 60, 3)), np.zeros((40, 60), bool)
+    img[:, :20], img[:, 40:], mask[:, :20], mask[:, 40:] = 50.0, 200.0, True, True
+    out = kernels.filled(img, mask)
+    assert (out[mask] == img[mask]).all() and 50 <= out[:, 20:40].min() and out[:, 20:40].max() <= 200
+    assert abs(out[20, 21, 0] - 50) < 80 and abs(out[20, 38, 0] - 200) < 80
