@@ -121,6 +121,12 @@ def groups(images: DataFrame, points: DataFrame) -> DataFrame:
     return active.select(F.col("image_id").cast("long")).join(parts, "image_id", "left").select("image_id", F.coalesce("component", "image_id").alias("group_id"))
 
 
+def largest_first(members: DataFrame) -> DataFrame:
+    """(group_id, n, place): the groups of `groups` by size, largest first, ties by id."""
+    sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).withColumn("__less", -F.col("n"))
+    return numbered(sizes, ["__less", "group_id"], "place").drop("__less")
+
+
 def stats(images: DataFrame, points: DataFrame) -> DataFrame:
     """One row: total, enabled, n_groups, largest, n_orphans (enabled images without a link)."""
     sizes = groups(images, points).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))

@@ -296,6 +296,11 @@ def point_stats(spark, sf_dir):
     return points.stats(*order_graph(spark, sf_dir))
 
 
+@query(_GRAPH + ", s AS (SELECT group_id, count(*) AS n FROM g GROUP BY 1) SELECT group_id, n, row_number() OVER (ORDER BY n DESC, group_id) - 1 AS place FROM s")
+def group_sizes(spark, sf_dir):
+    return points.largest_first(points.groups(*order_graph(spark, sf_dir)))
+
+
 @query(
     _GRAPH
     + """, s AS (SELECT group_id, count(*) AS n FROM g GROUP BY 1), t AS (SELECT count(*) AS n_groups, count(*) FILTER (WHERE n = 1) AS n_orphans FROM s)
@@ -364,6 +369,50 @@ def hfov_estimate(spark, sf_dir):
     return photos(spark, sf_dir).select("image_id", hint["source"].alias("source"), hint["trusted"].alias("trusted"), rounded(hint["hfov"], "hfov"))
 
 
+@query(
+    """WITH known AS (SELECT '/photos/' || p_partkey || '.JPG' AS path FROM part WHERE p_size < 10), fresh AS (SELECT '/photos/' || p_partkey || '.JPG' AS path, p_size * 100 + 100 AS w, 2600 AS h FROM part WHERE p_size >= 5),
+    n AS (SELECT *, row_number() OVER (ORDER BY path) AS n, least(1.0::DOUBLE, 1600 / greatest(w, h)) AS z FROM fresh WHERE path NOT IN (SELECT path FROM known))
+    SELECT ((SELECT max(p_partkey) FROM part WHERE p_size < 10) + n)::INTEGER AS image_id, path, greatest(round_even(w * z, 0), 1)::INTEGER AS proxy_width, greatest(round_even(h * z, 0), 1)::INTEGER AS proxy_height FROM n"""
+)
+def registered_photos(spark, sf_dir):
+    from panolith.schema import IMAGES
+
+    p = photos(spark, sf_dir).withColumn("path", F.concat(F.lit("/photos/"), F.col("image_id"), F.lit(".JPG"))).withColumn("size", F.col("width") / 100 - 1)
+    empty = spark.createDataFrame([], IMAGES)
+    old = p.where("size < 10").select(F.col("image_id").cast("int").alias("image_id"), "path")
+    known = empty.unionByName(old, allowMissingColumns=True)
+    return images.register(p.where("size >= 5").select("path", "width", "height", "exif"), known).select("image_id", "path", "proxy_width", "proxy_height")
+
+
+@query("SELECT coalesce((SELECT p_partkey FROM part WHERE p_partkey = 12 AND p_size > 10), (SELECT min(p_partkey) FROM part WHERE p_size > 10)) AS anchor")
+def anchor_after(spark, sf_dir):
+    return images.anchor_after(load(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("image_id")), 12)
+
+
+@query(
+    """WITH x AS (SELECT event_id, greatest(value / 1.4, 1) AS fov, 1000 + event_id % 3000 AS w, ['rectilinear', 'fisheye', 'equirect', 'stereographic', 'orthographic'][event_id % 5 + 1] AS kind FROM events),
+    h AS (SELECT *, radians(least(greatest(fov, 0.001), 359)) / 2 AS half FROM x)
+    SELECT event_id, round(CASE kind WHEN 'rectilinear' THEN w / 2 / tan(least(half, radians(89))) WHEN 'stereographic' THEN w / 4 / tan(half / 2) WHEN 'orthographic' THEN w / 2 / sin(least(half, radians(89.9))) ELSE w / 2 / half END, 5) AS focal FROM h"""
+)
+def focal_lengths(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ("rectilinear", "fisheye", "equirect", "stereographic", "orthographic")))
+    e = load(spark, sf_dir, "events").select(
+        "event_id", F.greatest(F.col("value") / 1.4, F.lit(1.0)).alias("fov"), (1000 + F.col("event_id") % 3000).alias("width"), F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("projection")
+    )
+    return e.select("event_id", (F.round(geometry.focal_px(), 5) + 0.0).alias("focal"))
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS image_id, 100 + s_suppkey % 300 AS w, 80 + s_suppkey % 200 AS h FROM supplier), t AS (SELECT range / 23.0::DOUBLE AS t FROM range(24)), q AS (SELECT range AS i FROM range(5)),
+    p AS (SELECT image_id, t * (w - 1) AS x, 0.0::DOUBLE AS y FROM s, t UNION ALL SELECT image_id, t * (w - 1), h - 1 FROM s, t UNION ALL SELECT image_id, 0, t * (h - 1) FROM s, t UNION ALL SELECT image_id, w - 1, t * (h - 1) FROM s, t
+        UNION ALL SELECT image_id, a.i / 4.0::DOUBLE * (w - 1), b.i / 4.0::DOUBLE * (h - 1) FROM s, q a, q b)
+    SELECT image_id, round(x, 6) AS x, round(y, 6) AS y FROM p"""
+)
+def border_points(spark, sf_dir):
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), (100 + F.col("s_suppkey") % 300).alias("width"), (80 + F.col("s_suppkey") % 200).alias("height"))
+    return layout.border_points(s).select("image_id", rounded("x", "x"), rounded("y", "y"))
+
+
 @query(_PHOTOS + " SELECT k AS image_id FROM p WHERE enabled")
 def active_ids(spark, sf_dir):
     return images.active_ids(photos(spark, sf_dir))
@@ -443,6 +492,24 @@ def panorama_tags(spark, sf_dir):
     return tags.panorama_tags(x).select("k", "pano_width", "pano_height", "crop_left", "crop_top")
 
 
+_PACKET = [
+    ("UsePanoramaViewer", "'True'"), ("ProjectionType", "'equirectangular'"), ("CroppedAreaImageWidthPixels", "w"), ("CroppedAreaImageHeightPixels", "h"), ("FullPanoWidthPixels", "pw"), ("FullPanoHeightPixels", "ph"),
+    ("CroppedAreaLeftPixels", "l"), ("CroppedAreaTopPixels", "t"), ("InitialViewHeadingDegrees", "'0'"), ("InitialViewPitchDegrees", "'0'"), ("InitialViewRollDegrees", "'0'"), ("InitialHorizontalFOVDegrees", "'70'"),
+]
+
+
+@query(
+    "WITH x AS (SELECT p_partkey, 2000 + p_size AS w, 1000 AS h, 2000 + p_size AS pw, round_even((2000 + p_size) / 2, 0)::BIGINT AS ph FROM part), y AS (SELECT *, 0 AS l, greatest(0, least(round_even(ph / 2 - h / 2, 0), ph - h))::BIGINT AS t FROM x) "
+    "SELECT p_partkey, "
+    + " || ".join(f"' GPano:{k}=\"' || {v} || '\"'" for k, v in _PACKET)
+    + " AS tags FROM y"
+)
+def viewer_packets(spark, sf_dir):
+    x = load(spark, sf_dir, "part").select("p_partkey", (2000 + F.col("p_size")).alias("full_w"), F.lit(1000).alias("full_h"), F.lit(360.0).alias("hfov"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit("equirect").alias("projection"))
+    x = tags.panorama_tags(x.withColumns({"w": F.col("full_w"), "h": F.col("full_h"), "width": F.col("full_w"), "height": F.col("full_h")}))
+    return x.select("p_partkey", F.regexp_extract(tags.panorama_packet(F.col("width"), F.col("height")), r"(( GPano:\w+=\"[^\"]*\")+)", 1).alias("tags"))
+
+
 @query(
     """SELECT page_id, lower(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) AS ending, regexp_extract(url, '([^/\\\\]+)[/\\\\]*$', 1) AS name,
     substr(sha1(url || '|' || length(html) || '|' || page_id || '|proxy'), 1, 20) AS key,
@@ -601,6 +668,7 @@ _KINDS = ("equirect", "cylindrical", "mercator", "rectilinear", "stereographic",
     SELECT kind, hfov, w::BIGINT AS width, greatest(2, round_even(CASE kind WHEN 'equirect' THEN w * 180 / hfov WHEN 'fisheye' THEN w ELSE 4 * w END, 0))::BIGINT AS height,
     round(CASE kind WHEN 'cylindrical' THEN f * tan(radians(75)) WHEN 'mercator' THEN f * ln(tan(radians(80) / 2 + {pi} / 4)) WHEN 'rectilinear' THEN f * tan(radians(70)) WHEN 'stereographic' THEN 2 * f * tan(radians(80)) END, 3) AS cut,
     hfov >= 358 AND kind IN ('equirect', 'cylindrical', 'mercator') AS wraps,
+    CASE WHEN hfov >= 358 AND kind IN ('equirect', 'cylindrical', 'mercator') THEN floor(greatest(1.6 * pow(2, least(7, greatest(1, floor(log2(greatest(w, CASE kind WHEN 'equirect' THEN w * 180 / hfov ELSE 4 * w END)) - 4)))), round_even(w * 0.1, 0))) ELSE 0 END::BIGINT AS pad,
     round(CASE WHEN kind = 'rectilinear' THEN degrees(tan(least(half, radians(70))) / (w / 2)) ELSE hfov / w END, 6) AS per_pixel FROM s"""
 )
 def canvas_sizes(spark, sf_dir):
@@ -609,8 +677,8 @@ def canvas_sizes(spark, sf_dir):
         for hfov in (20.0, 65.0, 100.0, 200.0, 330.0, 360.0):
             w, h = layout.full_size(kind, hfov, 700.0)
             lay, cut = Layout(kind, w, h, hfov, w=w, h=h), layout.vertical_limit(kind, 700.0)
-            rows.append((kind, hfov, w, h, None if cut is None else round(cut, 3), layout.canvas_wraps(lay), round(geometry.degrees_per_pixel(lay), 6)))
-    return spark.createDataFrame(rows, "kind string, hfov double, width long, height long, cut double, wraps boolean, per_pixel double")
+            rows.append((kind, hfov, w, h, None if cut is None else round(cut, 3), layout.canvas_wraps(lay), layout.wrap_pad(lay), round(geometry.degrees_per_pixel(lay), 6)))
+    return spark.createDataFrame(rows, "kind string, hfov double, width long, height long, cut double, wraps boolean, pad long, per_pixel double")
 
 
 @query(
