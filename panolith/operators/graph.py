@@ -17,6 +17,10 @@ def _canonical(edges: DataFrame) -> DataFrame:
     )
 
 
+#: Edges per task of a round; rounds over few edges are few tasks and files.
+TASK_EDGES = 100_000
+
+
 def _signature(edges: DataFrame) -> tuple:
     """Count and content hash of the edges: equal before and after means nothing moved."""
     h = F.xxhash64("u", "v")
@@ -39,15 +43,16 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
         if mark == was:
             break
         was = mark
+        few = lambda df, n=max(1, -(-mark[0] // TASK_EDGES)): df.coalesce(n)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
+        least = written(few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))), "large")
         large = written(
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v"),
+            few(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")),
             "large_star",
         )
-        lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "small")
+        lower = written(few(large.groupBy("u").agg(F.min("v").alias("m"))), "small")
         hooked = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = written(_canonical(hooked.unionByName(lower.select("u", F.col("m").alias("v")))), "edges")
+        new = written(few(_canonical(hooked.unionByName(lower.select("u", F.col("m").alias("v"))))), "edges")
         for old in (now, least, large, lower):
             discard(old)
         now = new
