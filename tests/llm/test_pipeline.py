@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from panolith.llm import neardup
@@ -146,3 +147,40 @@ def test_pairs_at_the_bound(spark, docs_of):
     assert all(2 * n in kept for n in range(len(close)))
     assert 100 < sum(close) < 300 and not any(x and not y for x, y in zip(lost, close))
     assert sum(x and y for x, y in zip(lost, close)) >= 0.99 * sum(close)
+
+
+def plain_mix(rows, shares, block):
+    """(slot, offset) of each (stream, length) row, streams in their order: earliest deadline first, slot by slot."""
+    ends, places = {}, []
+    for stream, n in rows:
+        at = ends.get(stream, 0)
+        ends[stream] = at + n
+        places.append((stream, at // block, at % block))
+    left = {s: -(-n // block) for s, n in ends.items()}
+    done, slot_of, slot = dict.fromkeys(left, 0), {}, 0
+    while left:
+        period, got = sum(shares[s] for s in left), dict.fromkeys(left, 0)
+        for t in range(10**6):
+            due = [(-(-(got[s] + 1) * period // shares[s]), s) for s in sorted(left) if got[s] * period // shares[s] <= t]
+            s = min(due)[1]
+            if not left[s]:
+                break
+            slot_of[s, done[s]] = slot
+            got[s], done[s], left[s], slot = got[s] + 1, done[s] + 1, left[s] - 1, slot + 1
+        left = {s: n for s, n in left.items() if n}
+    return [(slot_of[s, b], offset) for s, b, offset in places]
+
+
+def test_mix_by_plain_version(spark, docs_of, odd_rows):
+    r = random.Random(17)
+    rows = [x for x in odd_rows if x[0] != 6] + [(100 + i, "x" * r.randrange(30_000)) for i in range(120)]
+    docs = docs_of(rows)
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.concat(F.lit("src"), (F.col("doc_id") % 5).cast("string"))))
+    known = docs.select("doc_id", "text", "source", F.xxhash64("doc_id", "text").alias("h")).collect()
+    shares = {**pipeline.MIX_SHARES, "": 4}
+    stream = lambda x: x.source if x.source in pipeline.MIX_SHARES else ""
+    ordered = sorted(known, key=lambda x: (stream(x), x.h))
+    places = plain_mix([(stream(x), max(1, len(x.text or ""))) for x in ordered], shares, 65_536)
+    want = [(x.doc_id, x.text) for _, x in sorted(zip(places, ordered), key=lambda p: p[0])]
+    assert len(set(places)) == len(places) and max(places)[0] > 10
+    assert [(x.doc_id, x.text) for x in pipeline.mix(spark, docs, "").collect()] == want

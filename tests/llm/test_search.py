@@ -71,6 +71,14 @@ def test_bounds_hold():
         assert (lo <= -rows @ q).all() and (-rows @ q <= hi).all() and (hi - lo).mean() < 0.1 * np.abs(rows @ q).mean()
 
 
+def test_no_rows_give_none(spark):
+    rows = [(100, None), (None, [1.0]), (200, [0.0, 0.0])]
+    assert nearest(vectors(spark, rows)).count() == nearest(vectors(spark, rows).limit(0)).count() == 0
+    assert exact_top_k(vectors(spark, rows)).count() == 0 and nearest(vectors(spark, [(100, [1.0])])).count() == 0
+    far = [(100, [1e38, 0.0]), (1, [1e-38, 1e-38]), (2, [3e38, 0.0])]
+    assert [x.vec_id for x in nearest(vectors(spark, far)).orderBy("rank").collect()] == [1, 2]
+
+
 def test_few_rows_give_all_candidates(spark):
     rows = [(i, [float(i), 1.0]) for i in range(5)]
     got = nearest(vectors(spark, rows), k=10, every=2)
