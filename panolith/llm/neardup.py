@@ -238,9 +238,11 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tex
     whole = written(connected_components(edges), "parts")
     of_doc = prints.select("__id", "__t", "node").join(whole, "node", "left").withColumn("part", F.coalesce("component", "node"))
     of_doc = written(of_doc.select("__id", "__t", "part"), "document_parts")
+    repeated = not of_doc.groupBy("__id", "__t").count().where("count > 1").isEmpty()
     least = written(of_doc.groupBy("part").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__t")).alias("m")).select("m.__id", "m.__t"), "least")
     for old in (prints, classes, groups, edges, whole, of_doc):
         discard(old)
     rows = docs.withColumn("__t", F.xxhash64(text)).alias("d")
     same = F.col(f"d.{doc_id}").eqNullSafe(F.col("k.__id")) & (F.col("d.__t") == F.col("k.__t"))
-    return rows.join(least.alias("k"), same, "left_semi").dropDuplicates([doc_id, "__t"]).select(*docs.columns)
+    kept = rows.join(least.alias("k"), same, "left_semi")
+    return (kept.dropDuplicates([doc_id, "__t"]) if repeated else kept).select(*docs.columns)
